@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.shipping import shipped
+
 #: Rows turned into Python strings at a time; Spark bounds an Arrow batch by its bytes.
 SLICE = 256
 
@@ -98,6 +100,7 @@ def map_texts(
                 result = pa.RecordBatch.from_arrays([*rest, *columns], schema=pa.schema(fields))
                 yield result if mask is None else result.filter(mask)
 
+    shipped(docs.sparkSession)
     return source.mapInArrow(run, schema)
 
 

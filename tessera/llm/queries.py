@@ -5,22 +5,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count
+from . import bpe, line_dedup, mixing, simhash, token_count
 from .common import table
 
 
+#: Sites from which on a line counts as boilerplate.
+MIN_SITES = 5
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"), max_distance=4, shingle_words=4)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), seed=42)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.cleaned(table(spark, sf_dir, "documents"), MIN_SITES, counts=("n_lines", "n_removed"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_mixing": mixing.oracle(42),
+    "op4_line_dedup": line_dedup.oracle(MIN_SITES),
+}
