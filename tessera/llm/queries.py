@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, rules, simhash, token_count, topk
+from . import bpe, line_dedup, mixing, quality, rules, simhash, token_count, topk, toxicity
 from .common import table
 
 
@@ -31,6 +31,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.screened(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_top_k": op9_exact_top_k,
