@@ -203,6 +203,20 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str] | Non
     return map_texts(docs, text_col, keep or [id_col], "token_ids array<int>", make)
 
 
+def decode(tokens: DataFrame, vocabulary: str, keep: list[str], tokens_col: str = "token_ids") -> DataFrame:
+    """The columns keep and text for every row of tokens; NULL tokens give an empty text.
+
+    Ids that are not the encoding of valid UTF-8 give the replacement character; unknown ids raise.
+    """
+    raw = _broadcast(tokens, vocabulary)
+
+    def make():
+        decoded = _codec(raw.value, "").decode
+        return lambda rows: [[decoded(np.array(r or [], dtype="<u4").tobytes()).decode("utf-8", "replace") for r in rows]]
+
+    return map_texts(tokens, tokens_col, keep, "text string", make)
+
+
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 for every row of docs; parameters and edge cases as in encode().
 
@@ -224,3 +238,24 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         return work
 
     return map_texts(docs, text_col, [id_col], "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+
+
+def tokenized(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of round_trip() and token_ids, from one encoding of each text."""
+    raw = _broadcast(docs, vocabulary)
+
+    def make():
+        codec = _codec(raw.value, pattern)
+
+        def work(texts):
+            ids = [codec.encode(t or "") for t in texts]
+            return (
+                [len(x) // 4 for x in ids],
+                [sha256(x).hexdigest() for x in ids],
+                [sha256(codec.decode(x)).hexdigest() for x in ids],
+                [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids],
+            )
+
+        return work
+
+    return map_texts(docs, text_col, [id_col], "n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>", make)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality, rules, simhash, token_count, topk, toxicity
+from . import bpe, chat, line_dedup, mixing, quality, rules, simhash, token_count, topk, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.threaded(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing": op2_mixing,
@@ -62,6 +66,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: Inner products in whole numbers; DuckDB's list functions give exact ones in doubles.
@@ -79,4 +84,5 @@ ORACLE_SQL = {
     "op2_mixing": mixing.oracle(42),
     "op4_line_dedup": line_dedup.oracle(MIN_SITES),
     "op9_exact_top_k": TOP_K_SQL,
+    "op10_chat_formatting": chat.ORACLE,
 }

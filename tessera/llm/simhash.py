@@ -177,6 +177,15 @@ def links(nodes: DataFrame, max_distance: int, longest: int = LIST) -> DataFrame
     return met.union(second.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(max_distance, None), LINKS).select("a", "b"))
 
 
+def _components(marked: DataFrame, least: Column, max_distance: int) -> DataFrame:
+    """marked (__fp, ...) -> (__fp, __component): the smallest `least` among the rows of the fingerprint's component."""
+    nodes = durable(marked.groupBy("__fp").agg(F.min(least).alias("__least")))
+    members = durable(components(links(nodes.select("__fp"), max_distance)).toDF("__fp", "__root"))
+    smallest = nodes.join(members, "__fp").groupBy("__root").agg(F.min("__least").alias("__component"))
+    linked = members.join(smallest, "__root").select("__fp", "__component")
+    return durable(nodes.join(linked, "__fp", "left").select("__fp", F.coalesce("__component", "__least").alias("__component")))
+
+
 def grouped(docs: DataFrame, max_distance: int = 4, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hex digits), component_id for every row of docs.
 
@@ -186,14 +195,28 @@ def grouped(docs: DataFrame, max_distance: int = 4, shingle_words: int = 4, id_c
     NULL only if no linked row has an id. Repeated rows stay, each with its component. An empty table gives an
     empty result. Other columns of docs are not read.
     """
-    marked = durable(fingerprints(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__body")), shingle_words, ["__id"], "__body"))
-    nodes = durable(marked.groupBy("__fp").agg(F.min("__id").alias("__least")))
-    members = durable(components(links(nodes.select("__fp"), max_distance)).toDF("__fp", "__root"))
-    least = nodes.join(members, "__fp").groupBy("__root").agg(F.min("__least").alias("__component"))
-    linked = members.join(least, "__root").select("__fp", "__component")
-    named = nodes.join(linked, "__fp", "left").select("__fp", F.coalesce("__component", "__least").alias("__component"))
-    return marked.join(named, "__fp").select(
+    bare = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__body"))
+    marked = durable(fingerprints(bare, shingle_words, ["__id"], "__body"))
+    return marked.join(_components(marked, F.col("__id"), max_distance), "__fp").select(
         F.col("__id").alias(id_col),
         F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"),
         F.col("__component").alias("component_id"),
     )
+
+
+def deduplicated(docs: DataFrame, max_distance: int = 4, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each component: the one of the smallest id.
+
+    Of rows with that id the one of the smallest hash of its text stays, and of equal rows one. A NULL id
+    comes before all others. Components are as in grouped().
+    """
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    bare = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("__row"), F.col(f"`{text_col}`").alias("__body"))
+    marked = durable(fingerprints(bare, shingle_words, ["__id", "__row"], "__body"))
+    chosen = _components(marked, F.struct("__id", "__row"), max_distance).select("__component.*").distinct()
+    often = marked.groupBy("__id", "__row").agg(F.count("*").alias("__n"))
+    chosen = durable(chosen.alias("c").join(often.alias("o"), F.expr("c.__row = o.__row and c.__id <=> o.__id")).select(F.col("c.__id").alias("__i"), F.col("c.__row").alias("__r"), "__n"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{id_col}`").alias("__id"), row.alias("__row"))
+    met = held.join(chosen, (F.col("__row") == F.col("__r")) & F.col("__id").eqNullSafe(F.col("__i")))
+    single = met.where("__n = 1").select("__doc.*")
+    return single.union(met.where("__n > 1").dropDuplicates(["__row", "__id"]).select("__doc.*"))
