@@ -11,7 +11,7 @@ several lines. All measures are computed from the UTF-8 bytes of a whole Arrow b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +24,7 @@ from .sampling import held_out, labelled
 MOST = 6000
 LONGEST = 1 << 20
 #: Bytes of text measured at a time, about.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 #: Classes of bytes whose share of a line is a measure.
 CLASSES = (
@@ -164,6 +164,15 @@ class Chains:
         return marginal[:, 1], pairs.sum(axis=0), log_z
 
 
+def _shares(logits: np.ndarray, ties: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The part of each text, by length, that is good."""
+    if not len(first):
+        return np.zeros(0)
+    good, _, _ = Chains(first, len(lengths)).marginals(logits, ties)
+    weight = lengths + 1  # a text of empty lines has a length too
+    return np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
+
+
 class Model:
     """weights of the evidence, ties of neighbouring labels, and the curve from good shares to scores."""
 
@@ -171,26 +180,26 @@ class Model:
         self.weights, self.ties, self.curve = weights, ties, curve
 
     def shares(self, lines: Lines) -> np.ndarray:
-        """The part of each text, by length, that is good."""
-        if not len(lines.first):
-            return np.zeros(0)
-        good, _, _ = Chains(lines.first, len(lines.lengths)).marginals(lines.evidence() @ self.weights, self.ties)
-        weight = lines.lengths + 1  # a text of empty lines has a length too
-        return np.add.reduceat(good * weight, lines.first) / np.add.reduceat(weight, lines.first)
+        return _shares(lines.evidence() @ self.weights, self.ties, lines.first, lines.lengths)
 
     def scores(self, texts: Sequence[bytes]) -> np.ndarray:
-        found, at = [], 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
-                size += len(texts[to])
-                to += 1
-            slope, middle = self.curve
-            found.append(1 / (1 + np.exp(-slope * (self.shares(Lines(texts[at:to])) - middle))))
-            at = to
+        slope, middle = self.curve
+        found = [1 / (1 + np.exp(-slope * (self.shares(Lines(part)) - middle))) for part in _blocks(texts)]
         return np.concatenate(found) if found else np.zeros(0)
 
 
+def _blocks(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
+    """The texts in stretches of about BLOCK bytes."""
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
+            size += len(texts[to])
+            to += 1
+        yield texts[at:to]
+        at = to
+
+
 def _fit_chain(evidence: np.ndarray, first: np.ndarray, good: np.ndarray, weight: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ties that maximise the likelihood of the lines' labels good, by gradient steps with momentum (Adam)."""
     chains = Chains(first, len(evidence))
@@ -228,20 +237,23 @@ def fit(texts: Sequence[bytes], labels: np.ndarray, threshold: float = 0.7, roun
     if len(set(labels.tolist())) < 2:
         only = float(labels[0]) if len(labels) else 0.5
         return Model(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), (0.0, 0.0) if not len(labels) else (20.0, 1.0 - only))
-    lines = Lines(texts)
-    evidence = lines.evidence()
-    sizes = np.diff(np.concatenate((lines.first, [len(evidence)])))
+    evidence, sizes, lengths = [], [], []
+    for part in _blocks(texts):
+        lines = Lines(part)
+        evidence.append(lines.evidence())
+        lengths.append(lines.lengths)
+        sizes.append(np.diff(np.concatenate((lines.first, [len(lines.lengths)]))))
+    evidence, lengths, sizes = np.concatenate(evidence), np.concatenate(lengths), np.concatenate(sizes)
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     of = np.repeat(labels.astype(float), sizes)
     weight = np.ones(len(evidence))
-    weights, ties = _fit_chain(evidence, lines.first, of, weight, rounds, decay)
+    weights, ties = _fit_chain(evidence, first, of, weight, rounds, decay)
     # lines of bad documents that look good by themselves are good, if the document keeps a bad line
     alone = 1 / (1 + np.exp(-(evidence @ weights)))
-    worst = np.repeat(np.minimum.reduceat(alone, lines.first), sizes)
+    worst = np.repeat(np.minimum.reduceat(alone, first), sizes)
     good = np.where((of == 0) & (alone > 0.5) & (alone > worst), 1.0, of)
-    weights, ties = _fit_chain(evidence, lines.first, good, weight, rounds, decay)
-    model = Model(weights, ties, (0.0, 0.0))
-    model.curve = _fit_curve(model.shares(lines), labels, threshold)
-    return model
+    weights, ties = _fit_chain(evidence, first, good, weight, rounds, decay)
+    return Model(weights, ties, _fit_curve(_shares(evidence @ weights, ties, first, lengths), labels, threshold))
 
 
 def trained(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = MOST, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
