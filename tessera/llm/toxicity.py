@@ -61,28 +61,46 @@ def signatures(found: Iterable[str]) -> tuple[int, ...]:
     return tuple(int((digests * np.uint64(s) & np.uint64(0xFFFFFFFF)).min()) for s in SALTS)
 
 
-def _spread(docs: Sequence[Sequence[str]], of: np.ndarray, known: set[str]) -> Counter[str]:
+def _spread(docs: Sequence[str], of: np.ndarray, known: set[str]) -> Counter[str]:
     """In how many documents each known term is, near copies counted about once."""
     seen: list[dict[str, set[int]]] = [{t: set() for t in known} for _ in SALTS]
     for i in of:
-        own = {t for w in docs[i] for t in terms_of(w) if t in known}
+        found = docs[i].split()
+        own = {t for w in found for t in terms_of(w) if t in known}
         if own:
-            for sets, signature in zip(seen, signatures(docs[i])):
+            for sets, signature in zip(seen, signatures(found)):
                 for t in own:
                     sets[t].add(signature)
     return Counter({t: min(len(sets[t]) for sets in seen) for t in known})
 
 
-def lexicon(docs: Sequence[Sequence[str]], toxic: np.ndarray) -> list[str]:
-    """Terms that mark toxic documents, most telling first; docs holds each document's distinct words."""
-    inside: Counter[str] = Counter()
-    for i in np.flatnonzero(toxic):
-        inside.update({t for w in docs[i] for t in terms_of(w)})
+def _often(docs: Sequence[str], of: np.ndarray, least: int) -> Counter[str]:
+    """Terms in `least` documents or more: beginnings of growing length, then words, of those that begin so often."""
+    found: Counter[str] = Counter()
+    for length in (*BEGINNINGS, None):
+        counts: Counter[str] = Counter()
+        for i in of:
+            own = set()
+            for w in docs[i].split():
+                before = [n for n in BEGINNINGS if n <= len(w) and (length is None or n < length)]
+                if (length is None or len(w) >= length) and (not before or w[: before[-1]] in found):
+                    own.add(w + " " if length is None else w[:length])
+            counts.update(own)
+        found.update({t: n for t, n in counts.items() if n >= least})
+    return found
+
+
+def lexicon(docs: Sequence[str], toxic: np.ndarray) -> list[str]:
+    """Terms that mark toxic documents, most telling first; docs holds each document's distinct words, joined by spaces."""
     base = float(np.clip(toxic.mean(), 1e-3, 0.5))
     least = int(np.ceil(max(np.log(CHANCE) / np.log(base), RARE * toxic.sum())))
-    often = {t for t, n in inside.items() if n >= least}
-    known = {t: n for t, n in _spread(docs, np.flatnonzero(toxic), often).items() if n >= least}
-    outside = _spread(docs, np.flatnonzero(toxic == 0), set(known))
+    inside, clean = _often(docs, np.flatnonzero(toxic), least), np.flatnonzero(toxic == 0)
+    outside: Counter[str] = Counter()
+    for i in clean:
+        outside.update({t for w in docs[i].split() for t in terms_of(w) if t in inside})
+    likely = {t for t, n in inside.items() if n / (n + outside[t]) >= PRECISION / 2}
+    known = {t: n for t, n in _spread(docs, np.flatnonzero(toxic), likely).items() if n >= least}
+    outside = _spread(docs, clean, set(known))
     precision = {t: n / (n + outside[t]) for t, n in known.items()}
     kept: dict[str, int] = {}
     for t in sorted((t for t in known if precision[t] >= PRECISION), key=lambda t: (len(t), t)):
@@ -185,15 +203,16 @@ class Model:
         return 1 / (1 + float(np.exp(-min(30.0, max(-30.0, logit)))))
 
 
-def fit(docs: Sequence[Sequence[str]], toxic: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> Model:
-    """A model from documents' distinct words and labels. Without labels of both kinds every score is the same."""
+def fit(docs: Sequence[str], toxic: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> Model:
+    """A model from documents' distinct words, joined by spaces, and labels. Without labels of both kinds every score is the same."""
     if not len(toxic) or not 0 < toxic.sum() < len(toxic):
         base = float(np.clip(toxic.mean() if len(toxic) else 0.0, 0.01, 0.99))
         return Model([], np.array([0, 0, 0, np.log(base / (1 - base))]))
     terms = lexicon(docs, toxic)
     matcher, size = Matcher(terms), len(terms)
     votes, rows = np.zeros((len(docs), size + PATTERNS), np.int8), np.zeros((len(docs), size + 4), np.float32)
-    for i, found in enumerate(docs):
+    for i, line in enumerate(docs):
+        found = line.split()
         hits, held = matcher.hits(found)
         votes[i, list(hits)] = 1
         votes[i, size:] = patterns(len(hits), held, len(found))
@@ -220,7 +239,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST, parts: int = 5
 
     rows = map_texts(sample, "__text", ["__label"], "__words string", make).toPandas()
     rows = rows.drop_duplicates().sort_values(["__words", "__label"], kind="stable")
-    return fit([w.split(" ") if w else [] for w in rows["__words"]], rows["__label"].to_numpy())
+    return fit(rows["__words"].tolist(), rows["__label"].to_numpy())
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = MOST, parts: int = 5, part: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
