@@ -41,6 +41,8 @@ class Entry:
     placed: Callable[[], DataFrame] | None = None
     """The table with the PLACE columns, if its rows have an order."""
     pages: int = 0
+    #: Whether each use needs a frame of its own: a Python source keeps the filters that one plan pushed.
+    fresh: bool = False
 
 
 class Catalog:
@@ -94,6 +96,8 @@ class Catalog:
 
     def frame(self, name: str, span: Span | None = None) -> DataFrame:
         entry = self.find(name, span)
+        if entry.fresh:
+            return entry.load()
         if entry.name not in self._frames:
             self._frames[entry.name] = entry.load()
         return self._frames[entry.name]
@@ -153,7 +157,7 @@ class Catalog:
             return rows.select(*[F.col(f"`{k}`") for k in keys], F.col(ROWID).alias("index")).orderBy(*[F.col(f"`{k}`") for k in keys], "index")
 
         self._frames.pop(name, None)
-        self.entries[name] = Entry("index", name, entry.name, sql, load, tuple(keys))
+        self.entries[name] = Entry("index", name, entry.name, sql, load, tuple(keys), fresh=entry.fresh)
         return self.frame(name)
 
     # -- metadata ----------------------------------------------------------------------------------------------

@@ -172,7 +172,7 @@ def catalog(spark: SparkSession, path: str) -> Catalog:
     found = Catalog(spark, size)
     for kind, name, table, page, sql in rows:
         if kind == "table":
-            found.entries[name] = Entry("table", name, table, (sql or "").strip(), lambda t=name: read(spark, path, t), pages=page)
+            found.entries[name] = Entry("table", name, table, (sql or "").strip(), lambda t=name: read(spark, path, t), pages=page, fresh=True)
     for kind, name, table, page, sql in rows:
         if kind == "index" and all(keys[name]):
             found.create_index(name, table, keys[name], sql or "")

@@ -1,0 +1,22 @@
+import pytest
+
+import __spark_entry__ as entry
+from compare import rows_of
+from tessera import queries
+
+ORDERED = {"limit_offset", "limit", "limit_scan_order"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, data, duck, name):
+    got = queries.QUERIES[name](spark, data).toPandas()
+    if name in queries.ORACLE_SQL:
+        assert rows_of(got) == rows_of(duck.sql(queries.ORACLE_SQL[name]).df())
+    else:
+        assert len(got)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 8
+    assert set(queries.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -1,0 +1,59 @@
+from tessera import display
+from tessera.engine import Engine
+from tessera.shell import Shell
+
+
+def shell(spark):
+    e = Engine(spark)
+    e.sql("create table apples(id integer, name text)")
+    e.insert("apples", [(1, "Fuji"), (2, None)])
+    e.sql("create index by_id on apples(id)")
+    lines = []
+    return Shell(e, lines.append), lines
+
+
+def test_box_and_list():
+    assert list(display.box(["a.id", "name"], [(1, "x"), (22, None)])) == [
+        "┌────┬──────┐",
+        "│ id │ name │",
+        "├────┼──────┤",
+        "│ 1  │ x    │",
+        "│ 22 │      │",
+        "└────┴──────┘",
+    ]
+    assert list(display.listing(["id", "raw"], [(1, b"\x01\xff")])) == ["id|raw", "1|[01, ff]"]
+    assert list(display.box(["id"], [])) == [] and list(display.listing(["id"], [])) == []
+
+
+def test_commands(spark):
+    s, lines = shell(spark)
+    s.run(".tables")
+    s.run(".dbinfo")
+    s.run(".schema")
+    assert lines == ["apples by_id", "database page size: 0", "number of tables: 2", "apples: create table apples(id integer, name text)", "by_id: create index by_id on apples(id)"]
+    lines.clear()
+    s.run(".parse select id from apples")
+    assert lines[0].startswith("Select(")
+    s.run(".test apples")
+    assert lines[-1] == "apples: 2 rows, then 2 rows"
+    s.run(".nothing")
+    assert lines[-1].startswith("WrongCommand")
+
+
+def test_queries_and_errors(spark):
+    s, lines = shell(spark)
+    s.run("select * from apples where id = 1;")
+    assert lines[3] == "│ 1  │ Fuji │"
+    lines.clear()
+    s.run("select nope from apples")
+    assert lines[0].splitlines()[-1] == "           ^^^^"
+    lines.clear()
+    s.run("select * from apples where id > 5")
+    assert lines == []
+
+
+def test_loop_ends(spark):
+    s, lines = shell(spark)
+    asked = iter(["select id from apples", ".q", "select id from apples"])
+    s.loop(lambda prompt: next(asked))
+    assert len(lines) == 6
