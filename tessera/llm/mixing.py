@@ -9,9 +9,10 @@ tokens of the sample meet every target marginal. Only DataFrame functions are us
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, dropped, durable, written
@@ -19,10 +20,10 @@ from .common import WORD, dropped, durable, written
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares where none are given: in proportion to a power of the tokens; under 1 evens a marginal out.
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 1.0}
-#: Factors count as settled when none changes by a larger part; rounds after which fitting gives up.
-SETTLED, ROUNDS = 1e-10, 200
-#: Cells that one task may hold while fitting; more are dealt to more tasks.
-CELLS = 500_000
+#: Factors count as settled when none changes by a larger part; rounds after which fitting stops.
+SETTLED, ROUNDS = 1e-10, 60
+#: Rounds between two looks at the change; and cells that one task may hold while fitting.
+AT_ONCE, CELLS = 5, 200_000
 UNKNOWN = "unknown"
 
 
@@ -55,73 +56,75 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, columns: Mapping[str,
 
 
 def _shares(cells: DataFrame, dimension: str, target: Mapping[str, float] | DataFrame | None) -> DataFrame:
-    """(value, share) of the dimension's values that have tokens; the shares add up to 1."""
-    present = cells.groupBy(F.col(f"__{dimension}").alias("value")).agg(F.sum("__tokens").cast("double").alias("held")).where("held > 0")
+    """(__<dimension>, __t_<dimension>): target tokens of the values that have tokens, as parts of 1."""
+    key = f"__{dimension}"
+    present = cells.groupBy(key).agg(F.sum("__tokens").cast("double").alias("held")).where("held > 0")
     if isinstance(target, Mapping):
         target = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in target.items()], "value string, share double")
     if target is None:
-        wanted = present.select("value", F.pow("held", F.lit(POWERS[dimension])).alias("share"))
+        wanted = present.select(key, F.pow("held", F.lit(POWERS[dimension])).alias("share"))
     else:
-        wanted = present.join(target.select(F.col("value").cast("string"), F.col("share").cast("double")), "value", "left").select("value", F.coalesce("share", F.lit(0.0)).alias("share"))
+        given = target.select(F.col("value").cast("string").alias(key), F.col("share").cast("double"))
+        wanted = present.join(given, key, "left").select(key, F.coalesce("share", F.lit(0.0)).alias("share"))
     total = wanted.agg(F.sum("share")).first()[0]
-    return wanted.select("value", (F.col("share") / F.lit(total or 1.0)).alias("share"))
-
-
-def _times(cells: DataFrame, dimension: str, factors: DataFrame) -> DataFrame:
-    named = factors.select(F.col("value").alias(f"__{dimension}"), F.col("factor").alias(f"__f_{dimension}"))
-    return cells.join(named, f"__{dimension}", "left").withColumn(f"__f_{dimension}", F.coalesce(f"__f_{dimension}", F.lit(1.0)))
+    return wanted.select(key, (F.col("share") / F.lit(total or 1.0)).alias(f"__t_{dimension}"))
+
+
+def _refit(cells: DataFrame, dimension: str, total: int, together: bool) -> DataFrame:
+    """cells with the dimension's factors set so that its marginal meets the target while the others stand."""
+    key, factor = f"__{dimension}", f"__f_{dimension}"
+    weight = F.col("__tokens").cast("double")
+    for other in DIMENSIONS:
+        if other != dimension:
+            weight = weight * F.col(f"__f_{other}")
+    if together:
+        held = F.sum(weight).over(Window.partitionBy(key))
+    else:
+        cells = cells.join(cells.groupBy(key).agg(F.sum(weight).alias("__held")), key)
+        held = F.col("__held")
+    fresh = F.when(held > 0, F.coalesce(F.col(f"__t_{dimension}"), F.lit(0.0)) * F.lit(float(total)) / held).otherwise(1.0)
+    change = F.greatest("__change", F.abs(F.coalesce(F.try_divide("__fresh", F.col(factor)), F.lit(1.0)) - 1))
+    return cells.withColumn("__fresh", fresh).withColumn("__change", change).drop(factor, "__held").withColumnRenamed("__fresh", factor)
 
 
 def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | DataFrame] | None = None) -> DataFrame:
-    """cells (__source, __lang, __topic, __tokens) -> (dim, value, factor).
-
-    targets: shares of tokens for the values of a dimension; the value's that are missing get none. A dimension
-    without targets takes POWERS. Values without tokens keep factor 1. Each round's factors are a table in the
-    shared folder. Marginals that contradict each other (a target on cells that have no tokens) do not settle:
-    that raises ValueError after ROUNDS rounds.
+    """cells (__source, __lang, __topic, __tokens), as a stored table -> (__source, __lang, __topic, __tokens, __weight).
+
+    targets: shares of tokens for the values of a dimension; values that are missing get none. A dimension
+    without targets takes POWERS. Cells without tokens have the product of their values' factors for a weight,
+    as others do. Up to CELLS cells are fitted in one task, several rounds at a time; more are summed where
+    they lie and joined with the sums. Factors so far are a table in the shared folder. Marginals that
+    contradict each other (where the cells between them have no tokens) do not settle: after ROUNDS rounds the
+    factors stand as they are, with a warning; the last dimension's targets are then met, the others nearly.
     """
     spark = cells.sparkSession
     total, number = cells.agg(F.sum("__tokens"), F.count("*")).first()
-    cells = cells.coalesce(max(1, -(-number // CELLS)))
-    shares = durable(
-        _union([_shares(cells, d, (targets or {}).get(d)).select(F.lit(d).alias("dim"), "value", "share") for d in DIMENSIONS])
-    )
-    now, path = written(shares.select("dim", "value", F.lit(1.0).alias("factor"), F.lit(1.0).alias("change")))
-    if not total:
-        return now.select("dim", "value", "factor")
-    for _ in range(ROUNDS):
-        factors = {d: now.where(F.col("dim") == d).select("value", "factor") for d in DIMENSIONS}
-        fresh = {}
-        for d in DIMENSIONS:
-            joined = cells
-            weight = F.col("__tokens").cast("double")
-            for other in DIMENSIONS:
-                if other != d:
-                    joined = _times(joined, other, fresh.get(other, factors[other]))
-                    weight = weight * F.col(f"__f_{other}")
-            held = joined.groupBy(F.col(f"__{d}").alias("value")).agg(F.sum(weight).alias("held"))
-            wanted = shares.where(F.col("dim") == d).select("value", "share")
-            factor = F.when(F.col("held") > 0, F.col("share") * F.lit(float(total)) / F.col("held")).otherwise(1.0)
-            fresh[d] = held.join(wanted, "value").select("value", factor.alias("factor"))
-        changed = [
-            fresh[d]
-            .join(factors[d].withColumnRenamed("factor", "was"), "value")
-            .select(F.lit(d).alias("dim"), "value", "factor", F.abs(F.try_divide("factor", "was") - 1).alias("change"))
-            for d in DIMENSIONS
-        ]
-        old = path
-        now, path = written(_union(changed))
-        dropped(spark, old)
-        if (now.agg(F.max("change")).first()[0] or 0.0) < SETTLED:
-            return now.select("dim", "value", "factor")
-    raise ValueError(f"the target marginals do not settle in {ROUNDS} rounds; do they contradict each other?")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    first, *rest = frames
-    for frame in rest:
-        first = first.union(frame)
-    return first
+    together = number <= CELLS
+    state = cells
+    for d in DIMENSIONS:
+        state = state.join(_shares(cells, d, (targets or {}).get(d)), f"__{d}", "left").withColumn(f"__f_{d}", F.lit(1.0))
+    state, path = written(state.withColumn("__change", F.lit(0.0)))
+    change = None
+    for _ in range(0, ROUNDS if total else 0, AT_ONCE):
+        last = path
+        for step in range(AT_ONCE):
+            state = (state.coalesce(1) if together and not step else state).withColumn("__change", F.lit(0.0))
+            for d in DIMENSIONS:
+                state = _refit(state, d, total, together)
+                if not together:
+                    state, path = written(state)
+                    dropped(spark, last)
+                    last = path
+        if together:
+            state, path = written(state)
+            dropped(spark, last)
+        change = state.agg(F.max("__change")).first()[0]
+        if change < SETTLED:
+            break
+    if change is not None and change >= SETTLED:
+        warnings.warn(f"the marginals have not settled in {ROUNDS} rounds: a factor still changes by {change:.2g}", stacklevel=2)
+    weight = F.col("__f_source") * F.col("__f_lang") * F.col("__f_topic")
+    return state.select(*[f"__{d}" for d in DIMENSIONS], "__tokens", weight.alias("__weight"))
 
 
 def _chance(id_col: Column, seed: int) -> Column:
@@ -152,18 +155,11 @@ def mixed(
     """
     columns = {"source": source_col, "lang": lang_col, "topic": topic_col}
     held = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc") if keep else None
-    cells = durable(_measured(docs, id_col, text_col, columns, None).groupBy(*[f"__{d}" for d in DIMENSIONS]).agg(F.sum("__tokens").alias("__tokens")))
-    factors = durable(fit(cells, targets))
-    by = {d: factors.where(F.col("dim") == d) for d in DIMENSIONS}
-    weight = F.col("__f_source") * F.col("__f_lang") * F.col("__f_topic")
-
-    def weighted(frame: DataFrame) -> DataFrame:
-        for d in DIMENSIONS:
-            frame = _times(frame, d, by[d])
-        return frame.withColumn("__weight", weight)
-
-    most = weighted(cells.where("__tokens > 0")).agg(F.max("__weight")).first()[0] or 1.0
-    drawn = weighted(_measured(docs, id_col, text_col, columns, held)).withColumn("__p", F.least(F.lit(1.0), F.col("__weight") / F.lit(most)))
+    keys = [f"__{d}" for d in DIMENSIONS]
+    cells = durable(_measured(docs, id_col, text_col, columns, None).groupBy(*keys).agg(F.sum("__tokens").alias("__tokens")))
+    weights = fit(cells, targets)
+    most = weights.where("__tokens > 0").agg(F.max("__weight")).first()[0] or 1.0
+    drawn = _measured(docs, id_col, text_col, columns, held).join(weights.drop("__tokens"), keys).withColumn("__p", F.least(F.lit(1.0), F.col("__weight") / F.lit(most)))
     kept = _chance(F.col("__id"), seed) < F.col("__p")
     if keep:
         return drawn.select(*[F.col(f"__doc.`{c}`").alias(c) for c in keep], kept.alias("__kept"))
