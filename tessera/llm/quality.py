@@ -24,7 +24,7 @@ from .sampling import held_out, labelled
 MOST = 6000
 LONGEST = 1 << 20
 #: Bytes of text measured at a time, about.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 #: Classes of bytes whose share of a line is a measure.
 CLASSES = (

@@ -27,6 +27,8 @@ ROWS, BYTES = 1024, 1 << 20
 BITS = 10
 #: Candidate blocks that meet the same copy of a query block.
 SHARE = 4
+#: Scores are below this bound, so that whole numbers of 64 bits hold them and their intervals.
+LARGEST = 2.0**61
 
 BLOCK = "block long, dim int, ids binary, data binary, most double"
 _BLOCK = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("most", pa.float64())])
@@ -91,10 +93,8 @@ def _scores(queries: bytes, candidates: bytes, q_ids: np.ndarray, c_ids: np.ndar
     q, c = matrix(queries, len(q_ids)), matrix(candidates, len(c_ids))
     if bound < 2.0**53:
         scores = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    elif bound < 2.0**61:
-        scores = q.astype(np.int64) @ c.astype(np.int64).T
     else:
-        raise OverflowError("scores need more than 61 bits")
+        scores = q.astype(np.int64) @ c.astype(np.int64).T
     return scores, q_ids[:, None] != c_ids[None, :]
 
 
@@ -172,6 +172,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
     asked = durable(picked.repartition(max(1, -(-number // ROWS))).mapInArrow(_packed(scale), BLOCK))
     by_dim = asked.groupBy("dim").agg(F.max("most").alias("q")).join(candidates.groupBy("dim").agg(F.max("most").alias("c"), F.count("*").alias("n")), "dim")
     bound, blocks = by_dim.agg(F.max(F.col("q") * F.col("c") * F.greatest("dim", F.lit(1))), F.sum("n")).first()
+    if (bound or 0) >= LARGEST:
+        raise OverflowError("scores need more than 61 bits")
     reach = int(bound or 0) + 1
     slots = max(1, -(-int(blocks or 0) // SHARE))
     q = asked.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("most").alias("q_most"))

@@ -34,6 +34,8 @@ CHANCE, RARE = 1e-6, 0.005
 SALTS = (1, 2654435761, 2246822519, 3266489917)
 #: Voters whose votes correlate more than this within a class share one weight.
 TOGETHER = 0.5
+#: Voters whose votes correlate more than this over all rows start as one.
+ALIKE = 0.8
 #: Entries of a worker's memo of words before it is emptied.
 MEMO = 300_000
 
@@ -147,30 +149,36 @@ def patterns(n_terms: int, n_held: int, n_words: int) -> list[int]:
 PATTERNS = 6
 
 
+def _weights(votes: np.ndarray, groups: Iterable[np.ndarray], most: float) -> np.ndarray:
+    """1 over the number of voters, itself included, that correlate more than `most` with each voter in a group of rows."""
+    strength = np.zeros((votes.shape[1], votes.shape[1]))
+    for rows in groups:
+        if rows.sum() > 1:
+            centred = votes[rows] - votes[rows].mean(axis=0)
+            covariance = centred.T @ centred / rows.sum()
+            spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+            strength = np.maximum(strength, covariance / np.outer(spread, spread))
+    np.fill_diagonal(strength, 0)
+    return 1 / (1 + (strength > most).sum(axis=1))
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic for each row of votes (1, -1, 0 none), the voters' accuracies and their weights.
 
     A voter that votes errs at a rate of its own for each class. Its weight is 1 over the number of voters,
-    itself included, whose votes correlate with its own within a class.
+    itself included, whose votes correlate with its own within a class. The start is the majority, in which
+    voters that agree almost always count as one.
     """
     yes, no = (votes > 0).astype(float), (votes < 0).astype(float)
-    score = yes.sum(axis=1) - no.sum(axis=1)
-    q = np.where(score > 0, 0.9, 0.05)
-    weight = np.ones(votes.shape[1])
+    weight = _weights(votes, [np.ones(len(votes), bool)], ALIKE)
+    q = np.where(votes @ weight > 0, 0.9, 0.05)
     for step in range(rounds):
         rate = np.empty((2, 2, votes.shape[1]))  # class, vote
         for c, of in enumerate((1 - q, q)):
             total = of.sum()
             rate[c, 0], rate[c, 1] = (of @ no + 0.5 * prior) / (total + 1), (of @ yes + 0.5 * prior) / (total + 1)
         if step in (5, 15):
-            strength = np.zeros((votes.shape[1], votes.shape[1]))
-            for c, of in enumerate((1 - q, q)):
-                centred = votes - (of @ votes) / max(of.sum(), 1e-9)
-                covariance = (centred * of[:, None]).T @ centred / max(of.sum(), 1e-9)
-                spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-                strength = np.maximum(strength, np.abs(covariance / np.outer(spread, spread)))
-            np.fill_diagonal(strength, 0)
-            weight = 1 / (1 + (strength > TOGETHER).sum(axis=1))
+            weight = _weights(votes, [q <= 0.5, q > 0.5], TOGETHER)
         odds = np.log(rate[1]) - np.log(rate[0])
         logit = np.log(prior / (1 - prior)) + yes @ (weight * odds[1]) + no @ (weight * odds[0])
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -204,11 +212,12 @@ class Model:
 
 
 def fit(docs: Sequence[str], toxic: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> Model:
-    """A model from documents' distinct words, joined by spaces, and labels. Without labels of both kinds every score is the same."""
-    if not len(toxic) or not 0 < toxic.sum() < len(toxic):
+    """A model from documents' distinct words, joined by spaces, and labels. Without labels of both kinds, or
+    terms that tell them apart, every score is the base rate."""
+    terms = lexicon(docs, toxic) if 0 < toxic.sum() < len(toxic) else []
+    if not terms:  # nothing to vote on: every text has the base rate
         base = float(np.clip(toxic.mean() if len(toxic) else 0.0, 0.01, 0.99))
         return Model([], np.array([0, 0, 0, np.log(base / (1 - base))]))
-    terms = lexicon(docs, toxic)
     matcher, size = Matcher(terms), len(terms)
     votes, rows = np.zeros((len(docs), size + PATTERNS), np.int8), np.zeros((len(docs), size + 4), np.float32)
     for i, line in enumerate(docs):

@@ -1,0 +1,70 @@
+import pandas as pd
+import pytest
+from compare import rows_of
+
+from tessera.llm import chat
+
+TALK = [
+    (1, 0, "user", "Hello there\nHow  are you?\nThird line"),
+    (1, 1, "assistant", "unrelated start"),
+    (1, 2, "user", "Ann wrote:\n> hello There\n> how are you?\nFine thanks"),
+    (1, 3, "assistant", "> > Hello there\n> Fine thanks\nGood"),
+    (1, 4, "user", ">unrelated  start\nok wrote:\nthen"),
+    (1, 5, "assistant", "\n> good\n\nreply to good\n"),
+    (1, 6, "user", ">> Good\n>>> fine thanks\nfar"),
+    (2, 0, "user", "> nothing known\n> Hello there"),
+    (2, 1, None, ""),
+    (2, 2, "user", "same\n> same"),
+    (2, 3, "user", "same"),
+    (2, 4, "user", "> same\nto the later one"),
+    (3, 0, "user", None),
+    (4, 7, "user", "starts late"),
+    (4, 9, "user", "> starts late\n> not in it\nyes"),
+]
+COLUMNS = ["conv_id", "turn", "role", "text"]
+
+
+@pytest.fixture(scope="module")
+def talk(spark):
+    frame = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")
+    return frame.selectExpr("'x' as position", "conv_id", "turn", "3 as depth", "role", "text", "0 as thread_turn").repartition(3)
+
+
+def test_threads(talk, duck):
+    found = chat.threaded(talk)
+    got = {(r.conv_id, r.turn): r for r in found.collect()}
+    assert len(got) == len(TALK)
+    assert [got[1, t].parent_turn for t in range(7)] == [None, None, 0, 2, 1, 3, 3]
+    assert [got[1, t].thread_turn for t in range(7)] == [0, 1, 0, 0, 1, 0, 0]
+    assert [got[1, t].position for t in range(7)] == [1, 6, 2, 3, 7, 4, 5]
+    assert [got[1, t].depth for t in range(7)] == [0, 0, 1, 2, 1, 3, 3]
+    assert got[1, 2].text == "Fine thanks" and got[1, 4].text == "ok wrote:\nthen" and got[1, 5].text == "reply to good"
+    assert got[2, 0].parent_turn is None and got[2, 2].parent_turn is None and got[2, 4].parent_turn == 3
+    assert got[3, 0].text == "" and got[4, 9].parent_turn == 7
+    own = duck.cursor()
+    own.register("talk", pd.DataFrame(TALK, columns=COLUMNS))
+    own.sql("create or replace temp view conversations as select * from talk")
+    assert rows_of(found.toPandas()) == rows_of(own.sql(chat.ORACLE).df())
+
+
+def test_conversations(talk):
+    found = {(r.conv_id, r.segment): r for r in chat.conversations(talk, segment=4).collect()}
+    assert [(k, found[k].n_messages) for k in sorted(found)] == [((1, 0), 4), ((1, 1), 3), ((2, 0), 4), ((2, 1), 1), ((3, 0), 1), ((4, 0), 2)]
+    assert found[4, 0].text == "<|im_start|>user\nstarts late<|im_end|>\n<|im_start|>user\nyes<|im_end|>"
+    assert found[2, 0].text.split("\n")[2] == "<|im_start|>unknown"
+
+
+def test_nulls_repeated_rows_and_empty_tables(spark, talk):
+    rows = [(None, 0, "user", "alone"), (None, 1, "user", "> alone\nstill"), (5, None, "user", "early"), (5, 1, "user", "> early\nlate"), (5, 1, "user", "> early\nlate"), (5, 1, "user", "other")]
+    got = chat.threaded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 6
+    assert sorted(r.position for r in got if r.conv_id == 5) == [1, 2, 3, 4]
+    assert all(r.depth == 0 for r in got if r.conv_id is None)
+    assert [r.depth for r in got if r.text == "late"] == [1, 1]
+    assert chat.threaded(talk.where("false")).count() == 0 and chat.conversations(talk.where("false")).count() == 0
+
+
+def test_long_chain_and_long_conversation(spark):
+    rows = [(1, i, "user", f"> text {i - 1}\ntext {i}") for i in range(120)]
+    got = sorted(chat.threaded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.turn)
+    assert [r.depth for r in got] == list(range(120)) and [r.position for r in got] == list(range(1, 121)) and {r.thread_turn for r in got} == {0}
