@@ -10,11 +10,17 @@ A list that outgrows LIST fingerprints is not compared there: its members stream
 under each of d + 1 interleaved blocks of their bits, at least one of which is equal in any two that differ
 in d bits. A task holds 8 bytes for each member of a list and lets go only the links of a spanning forest of
 it, never all pairs.
+
+Near copies of texts differ in more bits than an index of guaranteed matches can cover. deduplicated() therefore
+lists fingerprints under every three bytes, which finds all pairs up to five bits, and also compares whatever
+else meets in a list up to `reach` bits; such pairs are links only if the texts' shingles are similar enough.
+That similarity is exact for texts of up to SKETCH distinct shingles together, and beyond it is
+estimated from the SKETCH smallest digests, with a standard error of 2.5 % at a similarity of 0.8.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,29 +39,52 @@ LIST = 4096
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 15
 LINKS = "a long, b long, key long"
+#: Digests of a sketch.
+SKETCH = 256
 
 
-def fingerprint(text: str | None, shingle_words: int) -> int:
-    """The 64-bit fingerprint of one text, as an unsigned number."""
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of one text, repeats included."""
     words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     count = max(1, len(words) - shingle_words + 1)
     first, last = starts[:count].tolist(), ends[min(shingle_words, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last)), np.uint64, count)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last)), np.uint64, count)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number whose bits are set in over half of the hashes; 0 without any."""
     bits = np.zeros(64, np.int64)
-    for at in range(0, count, CHUNK):
+    for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > count, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle_words: int) -> int:
+    """The 64-bit fingerprint of one text, as an unsigned number."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The smallest distinct digests of 32 bits, at most SKETCH of them."""
+    return np.unique((hashes & np.uint64(0xFFFFFFFF)).astype("<u4"))[:SKETCH].tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Shared part of all distinct shingles (Jaccard) of two texts, from their sketches; 1 for two empty ones."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y, True)).mean()) if len(both) else 1.0
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns keep and __fp long (the fingerprint's 64 bits, signed) for every row of docs.
+def fingerprints(docs: DataFrame, shingle_words: int = 4, keep: list[str] | None = None, text_col: str = "text", sketches: bool = False) -> DataFrame:
+    """The columns keep, __fp long (the fingerprint's 64 bits, signed) and, if wanted, __sketch for every row of docs.
 
     Words are runs of characters other than the six ASCII separators, after lower-casing A-Z; shingles are
     shingle_words words joined by a space, repeats included; fewer words make one shingle. Bit i is set if
@@ -64,12 +93,13 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, keep: list[str] | None
 
     def make():
         def work(texts):
-            found = np.fromiter((fingerprint(t, shingle_words) for t in texts), np.uint64, len(texts))
-            return [found.view(np.int64)]
+            hashes = [shingle_hashes(t, shingle_words) for t in texts]
+            found = np.fromiter(map(majority, hashes), np.uint64, len(texts)).view(np.int64)
+            return [found, list(map(sketch, hashes))] if sketches else [found]
 
         return work
 
-    return map_texts(docs, text_col, keep or [], "__fp long", make)
+    return map_texts(docs, text_col, keep or [], "__fp long" + (", __sketch binary" if sketches else ""), make)
 
 
 def _lists(fp: Column, wanted: int) -> Column:
@@ -89,101 +119,171 @@ def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (positions in values) of a spanning forest of the graph of values within the distance."""
+    """Links (pairs of values) of a spanning forest of the graph of values within the distance."""
     links = []
-    left = np.arange(len(values))
+    left = values
     while len(left) > 1:
-        frontier = [left[0]]
-        left = left[1:]
+        frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             node = frontier.pop()
-            near = _differing(values[left], values[node]) <= distance
+            near = _differing(left, node) <= distance
             if near.any():
-                met = left[near]
-                left = left[~near]
+                met, left = left[near], left[~near]
                 links.extend((int(node), int(x)) for x in met)
                 frontier.extend(met)
     return links
 
 
-def _linked(distance: int, limit: int | None):
-    """Arrow function over rows (key, fp), sorted by key: links as (a, b, NULL), members of long lists as (fp, NULL, key)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+def _accompanied(values: np.ndarray, distance: int) -> np.ndarray:
+    """The values that have another one within the distance."""
+    return values[[int((_differing(values, v) <= distance).sum()) > 1 for v in values]]
 
-    def close(parts: list[np.ndarray]) -> list[tuple[int, int]]:
-        values = np.concatenate(parts)
-        if len(values) < 2:
-            return []
-        return [(int(values[i]), int(values[j])) for i, j in _forest(values, distance)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, held, size, over = None, [], 0, False
+def _lists_of(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[int, list[pa.RecordBatch], bool]]:
+    """From rows sorted by a key: the key, rows of it, and whether these are the last ones, batch by batch."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for start, end in zip(cuts, cuts[1:]):
+            if held and keys[start] != key:
+                yield key, held, True
+                held = []
+            key = int(keys[start])
+            held.append(batch.slice(start, end - start))
+        yield key, held, False
+    if held:
+        yield key, held, True
+
+
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+
+
+def _found(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64()), none if key is None else pa.array(key, pa.int64())], schema=FOUND)
+
+
+def _compared(distance: int, limit: int | None, members: bool):
+    """Arrow function over rows (key, fp), sorted by key: what the lists of the index hold.
+
+    Links of a forest as (a, b, NULL), or with members the values that have a near one as (fp, fp, key); of a list of
+    over `limit` values all values as (fp, NULL, key).
+    """
+
+    def pairs_of(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[tuple[int, int]]]:
+        """Lists of two that lie inside the batch, compared at once, and the stretches of rows that are left."""
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
+        place, sizes = np.arange(len(starts)), ends - starts
+        inside = (place > 0) & (place < len(starts) - 1)
+        at = starts[inside & (sizes == 2)]
+        at = at[_differing(fps[at], fps[at + 1]) <= distance]
+        both = np.concatenate((at, at + 1))
+        found = _found(fps[both], fps[both], keys[both]) if members else _found(fps[at], fps[at + 1], None)
+        rest = np.flatnonzero(~inside | (sizes > 2))
+        return found, [(int(starts[n]), int(ends[n] - starts[n])) for n in rest]
+
+    def left_over(batches: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
-                continue
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            starts = np.concatenate(([0], cuts))
-            ends = np.concatenate((cuts, [len(keys)]))
-            links: list[tuple[int, int]] = []
-            spill: list[tuple[np.ndarray, int]] = []
-            # lists of two that lie inside the batch are compared at once
-            inner = np.flatnonzero(ends - starts == 2)
-            inner = inner[(inner > 0) & (inner < len(starts) - 1)]
-            x, y = fps[starts[inner]], fps[starts[inner] + 1]
-            near = _differing(x, y) <= distance
-            pairs = np.stack((x[near], y[near]))
-            for n in np.flatnonzero((ends - starts > 2) | (np.isin(np.arange(len(starts)), (0, len(starts) - 1)))):
-                a, b = starts[n], ends[n]
-                if keys[a] != open_key:
-                    if held:
-                        links += close(held)
-                    open_key, held, size, over = keys[a], [], 0, False
-                if over:
-                    spill.append((fps[a:b], int(open_key)))
-                    continue
-                held.append(fps[a:b].copy())
-                size += b - a
-                if limit and size > limit:
-                    spill += [(h, int(open_key)) for h in held]
-                    held, over = [], True
-            for h, key in spill:
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.nulls(len(h), pa.int64()), pa.array(np.full(len(h), key))], schema=schema)
-            a = np.concatenate((pairs[0], np.array([p[0] for p in links], np.int64)))
-            b = np.concatenate((pairs[1], np.array([p[1] for p in links], np.int64)))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=schema)
-        if held and (links := close(held)):
-            a, b = np.array(links, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=schema)
+            if batch.num_rows:
+                found, rest = pairs_of(batch)
+                out.append(found)
+                for start, size in rest:
+                    yield batch.slice(start, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[pa.RecordBatch] = []
+        over = None  # the key of a list that has outgrown the limit
+        for key, held, whole in _lists_of(left_over(batches, out)):
+            size = sum(b.num_rows for b in held)
+            if key == over or (limit and size > limit):
+                fps = np.concatenate([b.column(1).to_numpy() for b in held])
+                out.append(_found(fps, None, np.full(len(fps), key)))
+                held.clear()
+                over = key
+            elif whole and size > 1:
+                fps = np.concatenate([b.column(1).to_numpy() for b in held])
+                if members:
+                    near = _accompanied(fps, distance)
+                    out.append(_found(near, near, np.full(len(near), key)))
+                elif links := _forest(fps, distance):
+                    a, b = np.array(links, np.int64).T
+                    out.append(_found(a, b, None))
+            if len(out) > 64:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0] if any(b.num_rows for b in out) else out[0]
+                out.clear()
+        yield from out
 
     return run
 
 
-def links(nodes: DataFrame, max_distance: int, longest: int = LIST) -> DataFrame:
-    """nodes (__fp long, distinct) -> (a, b): links that connect all fingerprints within max_distance (at most 5)."""
-    if not 0 <= max_distance <= 5:
-        raise ValueError("the index needs three shared bytes at least: a distance from 0 to 5")
+def _index(nodes: DataFrame, bytes_shared: int, distance: int, members: bool, longest: int) -> DataFrame:
+    """(a, b, key) of all lists: links, or values with a near one; see _compared()."""
     shipped(nodes.sparkSession)
     fp = F.col("__fp")
-    index = nodes.select(F.explode(_lists(fp, min(4, 8 - max_distance))).alias("key"), fp)
-    found = durable(index.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(max_distance, longest), LINKS))
-    met = found.where("key is null").select("a", "b")
-    again = found.where("key is not null").select(F.col("key").alias("list"), F.col("a").alias("__fp"))
-    blocks = [sum(1 << i for i in range(64) if i % (max_distance + 1) == block) for block in range(max_distance + 1)]
+    index = nodes.select(F.explode(_lists(fp, bytes_shared)).alias("key"), fp)
+    found = durable(index.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(distance, longest, members), LINKS))
+    again = found.where("b is null").select(F.col("key").alias("list"), F.col("a").alias("__fp"))
+    blocks = [sum(1 << i for i in range(64) if i % (distance + 1) == block) for block in range(distance + 1)]
     masked = [fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in blocks]
     keys = F.array(*[F.xxhash64("list", F.lit(i), m) for i, m in enumerate(masked)])
-    second = again.select(F.explode(keys).alias("key"), fp)
-    return met.union(second.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(max_distance, None), LINKS).select("a", "b"))
+    second = again.select(F.explode(keys).alias("key"), fp).repartition("key").sortWithinPartitions("key")
+    return found.where("b is not null").union(second.mapInArrow(_compared(distance, None, members), LINKS))
+
+
+def links(nodes: DataFrame, max_distance: int, longest: int = LIST) -> DataFrame:
+    """nodes (__fp long, distinct) -> (a, b): links that connect all fingerprints within max_distance (at most 5)."""
+    if not 0 <= max_distance <= 5:
+        raise ValueError("the index needs three shared bytes at least: a distance from 0 to 5")
+    return _index(nodes, min(4, 8 - max_distance), max_distance, False, longest).select("a", "b")
+
 
+def _alike(reach: int, least: float):
+    """Arrow function from rows (key, fp, sketch), sorted by key, to links (a, b) that connect all similar pairs of each list."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _components(marked: DataFrame, least: Column, max_distance: int) -> DataFrame:
-    """marked (__fp, ...) -> (__fp, __component): the smallest `least` among the rows of the fingerprint's component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held, whole in _lists_of(batches):
+            if not whole:
+                continue
+            fps = np.concatenate([b.column(1).to_numpy() for b in held])
+            sketches = [s for b in held for s in b.column(2).to_pylist()]
+            label = np.arange(len(fps))
+            for i in range(len(fps) - 1):
+                for j in (i + 1 + np.flatnonzero((_differing(fps[i + 1 :], fps[i]) <= reach) & (label[i + 1 :] != label[i]))).tolist():
+                    if label[i] != label[j] and similarity(sketches[i], sketches[j]) >= least:
+                        label[label == label[j]] = label[i]
+                        yield pa.RecordBatch.from_arrays([pa.array([fps[i]]), pa.array([fps[j]])], schema=schema)
+
+    return run
+
+
+def similar_links(marked: DataFrame, nodes: DataFrame, alike: float, max_distance: int, reach: int, longest: int = LIST) -> DataFrame:
+    """marked (__fp, __sketch), nodes (__fp, distinct) -> (a, b): links that connect all similar pairs that meet in a list.
+
+    Pairs meet in a list if their fingerprints share 8 - max_distance bytes, and are compared if they differ in at
+    most `reach` bits. Equal fingerprints go by one of their sketches.
+    """
+    met = durable(_index(nodes, min(4, 8 - max_distance), reach, True, longest).select("key", F.col("a").alias("__fp")))
+    own = durable(marked.select("__fp", "__sketch").join(met.select("__fp").distinct(), "__fp", "left_semi").groupBy("__fp").agg(F.min("__sketch").alias("__sketch")))
+    rows = met.join(own, "__fp").select("key", "__fp", "__sketch")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(reach, alike), "a long, b long")
+
+
+def _components(marked: DataFrame, least: Column, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """marked (__fp, ...) -> (__fp, __component): the smallest `least` among the rows of the fingerprint's component.
+
+    linked gives the links (a, b) of the distinct fingerprints.
+    """
     nodes = durable(marked.groupBy("__fp").agg(F.min(least).alias("__least")))
-    members = durable(components(links(nodes.select("__fp"), max_distance)).toDF("__fp", "__root"))
+    members = durable(components(linked(nodes.select("__fp"))).toDF("__fp", "__root"))
     smallest = nodes.join(members, "__fp").groupBy("__root").agg(F.min("__least").alias("__component"))
-    linked = members.join(smallest, "__root").select("__fp", "__component")
-    return durable(nodes.join(linked, "__fp", "left").select("__fp", F.coalesce("__component", "__least").alias("__component")))
+    named = members.join(smallest, "__root").select("__fp", "__component")
+    return durable(nodes.join(named, "__fp", "left").select("__fp", F.coalesce("__component", "__least").alias("__component")))
 
 
 def grouped(docs: DataFrame, max_distance: int = 4, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,23 +297,27 @@ def grouped(docs: DataFrame, max_distance: int = 4, shingle_words: int = 4, id_c
     """
     bare = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__body"))
     marked = durable(fingerprints(bare, shingle_words, ["__id"], "__body"))
-    return marked.join(_components(marked, F.col("__id"), max_distance), "__fp").select(
+    return marked.join(_components(marked, F.col("__id"), lambda nodes: links(nodes, max_distance)), "__fp").select(
         F.col("__id").alias(id_col),
         F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"),
         F.col("__component").alias("component_id"),
     )
 
 
-def deduplicated(docs: DataFrame, max_distance: int = 4, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, for each component: the one of the smallest id.
+def deduplicated(
+    docs: DataFrame, shingle_words: int = 5, alike: float = 0.8, max_distance: int = 5, reach: int = 12, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of docs, with all its columns, for each group of near-duplicates: the one of the smallest id.
 
-    Of rows with that id the one of the smallest hash of its text stays, and of equal rows one. A NULL id
-    comes before all others. Components are as in grouped().
+    Equal fingerprints are one group. Others are linked if their texts' similarity is `alike` or more and their
+    fingerprints differ in at most max_distance bits; links up to `reach` bits are found where the fingerprints
+    share 8 - max_distance bytes. Groups are what chains of links connect. Of rows with the smallest id the one
+    of the smallest hash of its text stays, and of equal rows one. A NULL id comes before all others.
     """
     row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     bare = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("__row"), F.col(f"`{text_col}`").alias("__body"))
-    marked = durable(fingerprints(bare, shingle_words, ["__id", "__row"], "__body"))
-    chosen = _components(marked, F.struct("__id", "__row"), max_distance).select("__component.*").distinct()
+    marked = durable(fingerprints(bare, shingle_words, ["__id", "__row"], "__body", sketches=True))
+    chosen = _components(marked, F.struct("__id", "__row"), lambda nodes: similar_links(marked, nodes, alike, max_distance, reach)).select("__component.*").distinct()
     often = marked.groupBy("__id", "__row").agg(F.count("*").alias("__n"))
     chosen = durable(chosen.alias("c").join(often.alias("o"), F.expr("c.__row = o.__row and c.__id <=> o.__id")).select(F.col("c.__id").alias("__i"), F.col("c.__row").alias("__r"), "__n"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{id_col}`").alias("__id"), row.alias("__row"))

@@ -42,6 +42,32 @@ def classes(fingerprints, distance):
     return [find(i) for i in range(len(fingerprints))]
 
 
+def near_classes(texts, size, alike, distance, reach):
+    """The class number of each text: all pairs by bits, shared bytes and exact similarity."""
+    prints = [fingerprint(t, size) for t in texts]
+
+    def shingles(text):
+        found = [w.lower() for w in words(text)]
+        return {b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))} if found else set()
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            apart = a ^ prints[j]
+            shared = sum(not apart >> 8 * p & 255 for p in range(8))
+            near = apart.bit_count() <= reach and shared >= 8 - distance
+            if apart == 0 or near and len(sets[i] & sets[j]) >= alike * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                label[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
 def cleaned(docs, least):
     """docs: (id, text, site) with ids of their own -> {id: text} without boilerplate lines."""
     bare = lambda line: line.strip(" \t\r")

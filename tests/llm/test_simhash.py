@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from brute import classes, fingerprint
+from brute import classes, fingerprint, near_classes
 
 from tessera.llm import components, simhash
 from tessera.llm.common import table
@@ -92,9 +92,9 @@ def test_components_of_paths_stars_and_cycles(spark):
 
 
 def test_one_row_of_each_group_stays(odd, rows, none):
-    kept = simhash.deduplicated(odd, max_distance=4, shingle_words=4)
+    kept = simhash.deduplicated(odd, shingle_words=4)
     assert kept.columns == odd.columns
-    of = classes([fingerprint(t, 4) for _, t, *_ in rows], 4)
+    of = near_classes([t for _, t, *_ in rows], 4, 0.8, 5, 12)
     got = kept.collect()
     assert len(got) == len(set(of))
     best = {}
@@ -102,3 +102,31 @@ def test_one_row_of_each_group_stays(odd, rows, none):
         best[c] = min(best.get(c, (True, 1e9)), (i is not None, i or 0))
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i if known else None) for known, i in best.values())
     assert simhash.deduplicated(none).count() == 0
+
+
+def test_similar_texts_are_one_group(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = []
+    for n in range(40):
+        base = [word() for _ in range(60 + 20 * (n % 7))]
+        texts.append(" ".join(base))
+        for edits in range(n % 4):
+            copy = list(base)
+            for _ in range(edits + 1):
+                copy[int(rng.integers(len(copy)))] = word()
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    of = near_classes(texts, 5, 0.8, 5, 12)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(set(of))
+
+
+def test_similarity_of_sketches():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    for shared in (0, 1500, 2700, 3000):
+        b = np.concatenate((a[:shared], rng.integers(0, 2**63, 3000 - shared, dtype=np.uint64)))
+        assert abs(simhash.similarity(simhash.sketch(a), simhash.sketch(b)) - shared / (6000 - shared)) < 0.1
+    few = a[:100], np.concatenate((a[:90], a[500:520]))
+    assert simhash.similarity(*map(simhash.sketch, few)) == 90 / 120
+    assert simhash.similarity(b"", b"") == 1 and simhash.similarity(b"", simhash.sketch(a)) == 0
