@@ -83,6 +83,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 ORACLE_SQL = {
     "op2_mixing": mixing.oracle(42),
     "op4_line_dedup": line_dedup.oracle(MIN_SITES),
+    "op7_quality_rules": rules.ORACLE,
     "op9_exact_top_k": TOP_K_SQL,
     "op10_chat_formatting": chat.ORACLE,
 }

@@ -82,8 +82,8 @@ class Measures:
 
     @cached_property
     def n_capital(self) -> int:
-        """Words of two letters or more that are all in capitals."""
-        return sum(w.isupper() and len(w) > 1 for w in self.text.split())
+        """Words of two bytes or more with letters of A-Z and none of a-z."""
+        return sum(w.isupper() and len(w) > 1 for w in self.words)
 
     @cached_property
     def base_failed(self) -> bool:
@@ -143,3 +143,29 @@ def screened(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPL
 
     added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
     return map_texts(docs, text_col, [id_col], added, make)
+
+
+#: DuckDB SQL for screened() over documents with the rules above.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+p AS (
+  SELECT doc_id, x, i, CASE WHEN i <= n - 7 THEN count(*) OVER (PARTITION BY doc_id, win) > 1 ELSE false END AS twice,
+         lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n,
+               unnest([CASE WHEN j <= len(w) - 7 THEN array_to_string(w[j:j + 7], ' ') END FOR j IN range(1, len(w) + 1)]) AS win FROM d)),
+c AS (
+  SELECT doc_id, sum(length(x)) AS word_chars, sum(CASE WHEN covered THEN 1 ELSE 0 END) AS n_repeat_words, sum(CASE WHEN x = before THEN 1 ELSE 0 END) AS n_adjacent,
+         sum(CASE WHEN strlen(x) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') THEN 1 ELSE 0 END) AS n_capital
+  FROM (SELECT *, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM p) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.word_chars, 0)::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines, coalesce(c.n_adjacent, 0) AS n_adjacent, coalesce(c.n_capital, 0) AS n_capital
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 5 * n_adjacent > n_words
+            OR 2 * n_capital > n_words OR 2 * word_chars < 3 * n_words OR word_chars > 200 * n_words) AS kept
+FROM m"""
