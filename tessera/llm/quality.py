@@ -4,8 +4,8 @@ Every line is good or bad. A line's evidence is its own measures and those of th
 neighbouring labels are tied by transition weights. The forward-backward marginals of "good", weighted by the
 lines' lengths, add up to a document's share of good text, which a logistic curve turns into a score.
 
-Training takes a bounded sample of labelled documents. A document's label is first given to all its lines; a
-second fit lets good-looking lines of bad documents be good. Lines longer than LONGEST bytes are measured as
+Training takes a bounded sample of labelled documents. A document's label is first given to all its lines; lines
+of bad documents that look good by themselves then count as good, and the chains are fitted to these labels. Lines longer than LONGEST bytes are measured as
 several lines. All measures are computed from the UTF-8 bytes of a whole Arrow batch at once.
 """
 
@@ -202,6 +202,9 @@ def _blocks(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
 
 def _fit_chain(evidence: np.ndarray, first: np.ndarray, good: np.ndarray, weight: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ties that maximise the likelihood of the lines' labels good, by gradient steps with momentum (Adam)."""
+    scale = np.maximum(evidence.std(axis=0), 0.01)
+    scale[-1] = 1.0
+    evidence = evidence / scale
     chains = Chains(first, len(evidence))
     inner = np.ones(len(evidence), bool)
     inner[first] = False
@@ -215,18 +218,18 @@ def _fit_chain(evidence: np.ndarray, first: np.ndarray, good: np.ndarray, weight
         gradient = np.concatenate((evidence.T @ ((good - p) * weight), (seen - pairs).ravel())) / len(evidence) - decay * state
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         state = state + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return state[:size], state[size:].reshape(2, 2)
+    return state[:size] / scale, state[size:].reshape(2, 2)
 
 
 def _fit_curve(shares: np.ndarray, labels: np.ndarray, threshold: float) -> tuple[float, float]:
     """Slope and middle of the logistic curve: the best cut of the shares gets the score threshold."""
     order = np.argsort(shares, kind="stable")
     s, y = shares[order], labels[order]
-    # a cut before place i calls the rest good; bad documents weigh as much in sum as good ones
-    bad, fine = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    right = np.concatenate(([0], np.cumsum(np.where(y == 0, 1 / bad, -1 / fine))))
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    i = int(best[len(best) // 2])
+    # a cut before place i calls the rest good; the cut with the fewest errors, in the middle of the widest such gap
+    right = np.concatenate(([0], np.cumsum(np.where(y == 0, 1, -1))))
+    padded = np.concatenate(([s[0] - 0.1], s, [s[-1] + 0.1]))
+    best = np.flatnonzero(right == right.max())
+    i = int(best[np.argmax(padded[best + 1] - padded[best])])
     low, high = (s[i - 1] if i else s[0] - 0.1), (s[i] if i < len(s) else s[-1] + 0.1)
     cut, slope = (low + high) / 2, 12.0
     return slope, float(cut - np.log(threshold / (1 - threshold)) / slope)
@@ -247,11 +250,13 @@ def fit(texts: Sequence[bytes], labels: np.ndarray, threshold: float = 0.7, roun
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     of = np.repeat(labels.astype(float), sizes)
     weight = np.ones(len(evidence))
-    weights, ties = _fit_chain(evidence, first, of, weight, rounds, decay)
     # lines of bad documents that look good by themselves are good, if the document keeps a bad line
-    alone = 1 / (1 + np.exp(-(evidence @ weights)))
-    worst = np.repeat(np.minimum.reduceat(alone, first), sizes)
-    good = np.where((of == 0) & (alone > 0.5) & (alone > worst), 1.0, of)
+    alone = evidence.copy()
+    alone[:, WIDTH : 3 * WIDTH] = 0
+    weights, _ = _fit_chain(alone, np.arange(len(alone)), of, weight, rounds, decay)
+    looks = 1 / (1 + np.exp(-(alone @ weights)))
+    worst = np.repeat(np.minimum.reduceat(looks, first), sizes)
+    good = np.where((of == 0) & (looks > 0.5) & (looks > worst), 1.0, of)
     weights, ties = _fit_chain(evidence, first, good, weight, rounds, decay)
     return Model(weights, ties, _fit_curve(_shares(evidence @ weights, ties, first, lengths), labels, threshold))
 
