@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 from .pretokens import Splitter
 
-#: Entries of a worker's memo of pieces before it is emptied, and the longest piece that it holds.
-MEMO, MEMO_CHARS = 400_000, 48
+#: Entries of a task's memo of pieces before it is emptied, and the longest piece that it holds.
+MEMO, MEMO_CHARS = 250_000, 48
 #: Entries of the memo of token pairs before it is emptied.
-PAIRS = 1_000_000
+PAIRS = 300_000
 
 
 class Vocabulary:
@@ -157,12 +157,21 @@ class Pieces(dict):
 class Codec:
     """encode(text) -> ids as little-endian unsigned 32-bit integers; decode is the inverse, to UTF-8 bytes."""
 
-    def __init__(self, raw: bytes, pattern: str):
-        lines = (line.split() for line in raw.splitlines() if line.strip())
-        self.vocabulary = Vocabulary({base64.b64decode(a): int(b) for a, b in lines})
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary = vocabulary
         self.memo = Pieces(self.vocabulary)
         self.pieces = Splitter(pattern).pieces
 
+    @classmethod
+    def of(cls, raw: bytes, pattern: str) -> Codec:
+        """From the content of a rank file; a worker process keeps the vocabulary, not the memo."""
+        key = hash(raw)
+        if key not in _vocabularies:
+            lines = (line.split() for line in raw.splitlines() if line.strip())
+            _vocabularies.clear()
+            _vocabularies[key] = Vocabulary({base64.b64decode(a): int(b) for a, b in lines})
+        return cls(_vocabularies[key], pattern)
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
@@ -170,16 +179,7 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
-def _codec(raw: bytes, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    key = hash(raw), pattern
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(raw, pattern)
-    return _codecs[key]
+_vocabularies: dict[int, Vocabulary] = {}
 
 
 def _broadcast(docs: DataFrame, vocabulary: str):
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str] | Non
     raw = _broadcast(docs, vocabulary)
 
     def make():
-        codec = _codec(raw.value, pattern)
+        codec = Codec.of(raw.value, pattern)
         return lambda texts: [[np.frombuffer(codec.encode(t or ""), dtype="<u4").astype(np.int32) for t in texts]]
 
     return map_texts(docs, text_col, keep or [id_col], "token_ids array<int>", make)
@@ -211,7 +211,7 @@ def decode(tokens: DataFrame, vocabulary: str, keep: list[str], tokens_col: str
     raw = _broadcast(tokens, vocabulary)
 
     def make():
-        decoded = _codec(raw.value, "").decode
+        decoded = Codec.of(raw.value, "").decode
         return lambda rows: [[decoded(np.array(r or [], dtype="<u4").tobytes()).decode("utf-8", "replace") for r in rows]]
 
     return map_texts(tokens, tokens_col, keep, "text string", make)
@@ -225,7 +225,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     raw = _broadcast(docs, vocabulary)
 
     def make():
-        codec = _codec(raw.value, pattern)
+        codec = Codec.of(raw.value, pattern)
 
         def work(texts):
             ids = [codec.encode(t or "") for t in texts]
@@ -245,7 +245,7 @@ def tokenized(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc
     raw = _broadcast(docs, vocabulary)
 
     def make():
-        codec = _codec(raw.value, pattern)
+        codec = Codec.of(raw.value, pattern)
 
         def work(texts):
             ids = [codec.encode(t or "") for t in texts]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -17,6 +19,9 @@ from tessera.shipping import shipped
 #: Rows turned into Python strings at a time; Spark bounds an Arrow batch by its bytes.
 SLICE = 256
 
+#: Bytes of an Arrow batch, where the session does not set them: they exist in the JVM and in Python at once.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
 #: Words are separated by these six ASCII characters only.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,6 +67,20 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def arrow_ready(spark: SparkSession) -> None:
+    """Code on the executors, and batches of a bounded size."""
+    shipped(spark)
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
+
+
+def released() -> None:
+    """Gives freed memory back to the machine: a Python worker stays while stages without Python run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(
     docs: DataFrame,
     text: str,
@@ -73,7 +92,7 @@ def map_texts(
     """A row for each row of docs: the columns keep, then the columns of the DDL string added.
 
     make() is called once a task and gives a function from a list of texts (NULL as None) to the added
-    columns' values in order. drop_where_false names an added boolean column: rows where it is false go,
+    columns' values in order; an attribute done of it is called at the task's end. drop_where_false names an added boolean column: rows where it is false go,
     and the column too.
     """
     new = T._parse_datatype_string(added)
@@ -99,9 +118,13 @@ def map_texts(
                 fields = [part.schema.field(i + 1) for i in range(len(kept))] + [f for i, f in enumerate(arrow) if i != flag]
                 result = pa.RecordBatch.from_arrays([*rest, *columns], schema=pa.schema(fields))
                 yield result if mask is None else result.filter(mask)
+        if done := getattr(work, "done", None):
+            done()
+        del work
+        released()
 
-    shipped(docs.sparkSession)
+    arrow_ready(docs.sparkSession)
     return source.mapInArrow(run, schema)
 
 
-__all__ = ["SLICE", "WORD", "shared_dir", "written", "durable", "dropped", "table", "id_crc", "map_texts"]
+__all__ = ["SLICE", "WORD", "shared_dir", "written", "durable", "dropped", "table", "id_crc", "map_texts", "arrow_ready", "released"]

@@ -29,9 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.shipping import shipped
-
-from .common import durable, map_texts
+from .common import arrow_ready, durable, map_texts
 from .components import components
 
 #: Fingerprints that a list of the index may hold before it is listed again by nibbles.
@@ -223,7 +221,7 @@ def _compared(distance: int, limit: int | None, members: bool):
 
 def _index(nodes: DataFrame, bytes_shared: int, distance: int, members: bool, longest: int) -> DataFrame:
     """(a, b, key) of all lists: links, or values with a near one; see _compared()."""
-    shipped(nodes.sparkSession)
+    arrow_ready(nodes.sparkSession)
     fp = F.col("__fp")
     index = nodes.select(F.explode(_lists(fp, bytes_shared)).alias("key"), fp)
     found = durable(index.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(distance, longest, members), LINKS))

@@ -3,7 +3,7 @@
 Each piece starts as the list of its bytes, kept as a doubly linked list. A heap holds the adjacent pairs
 that the vocabulary merges; the pair of the lowest rank (leftmost first) is popped and merged until no pair
 is left. A piece has as many tokens as it had bytes, less the merges. Counts of short pieces are memoised in
-a table of bounded size for each Python worker.
+a table of bounded size for each task.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_texts
 from .pretokens import Splitter
 
-#: Entries of a worker's memo table before it is emptied, and the longest piece that it holds.
+#: Entries of a task's memo table before it is emptied, and the longest piece that it holds.
 MEMO, MEMO_CHARS = 400_000, 48
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
@@ -105,7 +105,8 @@ class Counter:
         letters = byte_letters()
         to_bytes = lambda s: bytes(letters[c] for c in s)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.memo = Memo(Merges([(to_bytes(a), to_bytes(b)) for a, b in pairs]))
+        self.merges = Merges([(to_bytes(a), to_bytes(b)) for a, b in pairs])
+        self.memo = Memo(self.merges)
         before = spec.get("pre_tokenizer") or {}
         if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("a byte-level vocabulary without normalizer and prefix space is needed")
@@ -130,11 +131,12 @@ _counters: dict[int, Counter] = {}
 
 
 def _counter(raw: str) -> Counter:
-    """One counter for each worker process and vocabulary."""
+    """One counter for each worker process and vocabulary, with an empty memo."""
     key = hash(raw)
     if key not in _counters:
         _counters.clear()
         _counters[key] = Counter(raw)
+    _counters[key].memo = Memo(_counters[key].merges)
     return _counters[key]
 
 
@@ -150,13 +152,15 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
         raw = spark.sparkContext.broadcast(f.read())
 
     def make():
-        count = _counter(raw.value).count
+        counter = _counter(raw.value)
+        count = counter.count
 
         def work(texts):
             texts = [t or "" for t in texts]
             tokens = [count(t) for t in texts]
             return [len(t.encode()) for t in texts], tokens, [n > limit for n in tokens]
 
+        work.done = counter.memo.clear
         return work
 
     return map_texts(docs, text_col, [id_col], "n_bytes long, n_tokens long, over_limit boolean", make)

@@ -17,9 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.shipping import shipped
-
-from .common import durable
+from .common import arrow_ready, durable
 
 #: Vectors of a block at most, and bytes of a block about.
 ROWS, BYTES = 1024, 1 << 20
@@ -164,7 +162,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
     if k < 1:
         raise ValueError("k is at least 1")
     spark = vectors.sparkSession
-    shipped(spark)
+    arrow_ready(spark)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where("id is not null and v is not null")
     picked = vectors.where(queries).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where("id is not null and v is not null")
     number = picked.count()

@@ -37,7 +37,7 @@ TOGETHER = 0.5
 #: Voters whose votes correlate more than this over all rows start as one.
 ALIKE = 0.8
 #: Entries of a worker's memo of words before it is emptied.
-MEMO = 300_000
+MEMO = 200_000
 
 _words = re.compile(r"[^\W\d_]+").findall
 

@@ -13,7 +13,7 @@ from tessera.llm.common import table
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 counter = token_count.Counter(open(JSON, encoding="utf-8").read())
-codec = bpe.Codec(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+codec = bpe.Codec.of(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
 library = Tokenizer.from_file(JSON)
 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
 encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
