@@ -40,14 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, and the table's path: a cut that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def forget(spark: SparkSession) -> None:
+    """Removes the tables that operators of this process have written; results that read them end with it."""
+    while _tables:
+        dropped(spark, _tables.pop())
+
+
 def durable(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
@@ -127,4 +137,4 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-__all__ = ["SLICE", "WORD", "shared_dir", "written", "durable", "dropped", "table", "id_crc", "map_texts", "arrow_ready", "released"]
+__all__ = ["SLICE", "WORD", "shared_dir", "written", "durable", "dropped", "forget", "table", "id_crc", "map_texts", "arrow_ready", "released"]

@@ -16,14 +16,15 @@ from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts
 
 #: Characters that count as symbols, and the window of repeated words.
 SYMBOLS, WINDOW = "#*$%&|<>", 8
 SPACE = " \t\n\r\x0b\x0c"
-#: Documents whose texts the cost and the selectivity of the rules are estimated on.
-SAMPLE = 512
+#: Documents whose texts the cost and the selectivity of the rules are estimated on, and their characters, at most.
+SAMPLE, SAMPLE_CHARS = 512, 100_000
 
 
 class Measures:
@@ -129,8 +130,9 @@ def screened(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPL
     counts as an empty text, which has no words and fails. Rows with equal or NULL ids each keep their own
     row. Other columns of docs are not read.
     """
-    first = docs.select(f"`{text_col}`").limit(sample).collect()
-    ordered = order(rules, [r[0] or "" for r in first])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    first = docs.select(text.alias("t")).where(F.length("t") <= SAMPLE_CHARS).limit(sample).collect()
+    ordered = order(rules, [r.t for r in first])
 
     def make():
         def work(texts):

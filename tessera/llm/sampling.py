@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from .common import id_crc
 
+#: Characters of a text that may be in a training sample, at most: a sample has to fit the driver.
+LONGEST = 100_000
+
 
 def held_out(column: str, parts: int, part: int) -> Column:
     """Whether an id is in the part that no label is learnt from; false for NULL."""
     return F.coalesce(id_crc(column) % parts == part, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled(
+    docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, most: int, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST
+) -> DataFrame:
     """(__text, __label): labelled documents outside the held-out part.
 
     most bounds the labels: those of the smallest digests of the id are taken, so the sample is the same for
-    every run and order of rows. Rows with a NULL id or label teach nothing; ids with labels of both kinds
-    neither.
+    every run and order of rows; longest bounds their texts' characters. Rows with a NULL id or label teach
+    nothing; ids with labels of both kinds neither.
     """
     one = (
         labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__label"))
@@ -29,5 +34,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: i
         .where("__label = __other")
     )
     chosen = one.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(most).select("__id", "__label")
-    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where(F.length(F.coalesce("__text", F.lit(""))) <= longest)
     return texts.join(F.broadcast(chosen), "__id").select("__text", "__label")

@@ -25,6 +25,8 @@ ROWS, BYTES = 1024, 1 << 20
 BITS = 10
 #: Candidate blocks that meet the same copy of a query block.
 SHARE = 4
+#: Names of query blocks (two numbers each) that may be broadcast.
+NAMES = 1_000_000
 #: Scores are below this bound, so that whole numbers of 64 bits hold them and their intervals.
 LARGEST = 2.0**61
 
@@ -176,7 +178,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
     slots = max(1, -(-int(blocks or 0) // SHARE))
     q = asked.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("most").alias("q_most"))
     names = durable(q.select("q_block", "dim"))
-    wide = F.broadcast(names) if number <= ROWS * ROWS else names  # one short row for each block of queries
+    wide = F.broadcast(names) if number <= ROWS * NAMES else names  # one short row for each block of queries
     dealt = candidates.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))).join(wide, "dim")
 
     def grid(state: DataFrame) -> DataFrame:
