@@ -18,7 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat across sites, but for a line's first occurrence; n_chars follows."""
-    return line_dedup.cleaned(docs, MIN_SITES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    found = line_dedup.cleaned(docs, MIN_SITES)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
