@@ -12,7 +12,7 @@ from .engine import Engine
 from .errors import DialectError, WrongCommand
 from .plans.parser import parse
 
-#: Names that the catalog commands leave out.
+#: Names of the file format's own objects, which the catalog commands leave out.
 HIDDEN, HIDDEN_START = "sqlite_sequence", "sqlite_autoindex"
 
 
