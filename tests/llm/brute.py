@@ -71,16 +71,17 @@ def near_classes(texts, size, alike, distance, reach):
 def cleaned(docs, least):
     """docs: (id, text, site) with ids of their own -> {id: text} without boilerplate lines."""
     bare = lambda line: line.strip(" \t\r")
-    sites, first = defaultdict(set), {}
+    sites, contexts, first = defaultdict(set), defaultdict(set), {}
     for i, text, site in sorted(docs, key=lambda d: d[0]):
-        for n, line in enumerate((text or "").split("\n")):
+        lines = (text or "").split("\n")
+        for n, line in enumerate(lines):
             if bare(line):
                 first.setdefault(bare(line), (i, n))
+                contexts[bare(line)].add((lines[n - 1] if n else "", lines[n + 1] if n + 1 < len(lines) else None))
                 if site is not None:
                     sites[bare(line)].add(site)
-    return {
-        i: "\n".join(line for n, line in enumerate((text or "").split("\n")) if len(sites[bare(line)]) < least or first[bare(line)] == (i, n)) for i, text, site in docs
-    }
+    stays = lambda line, at: min(len(sites[bare(line)]), len(contexts[bare(line)])) < least or first[bare(line)] == at
+    return {i: "\n".join(line for n, line in enumerate((text or "").split("\n")) if stays(line, (i, n))) for i, text, site in docs}
 
 
 def draws(docs, powers, seed, rounds=60):

@@ -22,9 +22,10 @@ def test_line_dedup_of_odd_documents(odd, none, rows):
     assert line_dedup.cleaned(none, 3).count() == 0
 
 
-def test_a_null_id_is_the_first_occurrence(odd):
-    got = {r.doc_id: r.text for r in line_dedup.cleaned(odd, 2).collect()}
-    assert got[None].startswith("one two") and got[1] == ""
+def test_a_null_id_is_the_first_occurrence(spark):
+    docs = spark.createDataFrame([(None, "x\nhere", "s1"), (1, "here\ny", "s2"), (0, "z\nhere\n", "s3")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(docs, 3).collect()}
+    assert got == {None: "x\nhere", 1: "y", 0: "z\n"}
 
 
 @pytest.mark.parametrize("sites", [19, 20, 21, 22, 40])
@@ -36,9 +37,16 @@ def test_spread_near_the_threshold_is_exact(spark, sites):
 
 
 def test_all_lines_of_a_text_may_go(spark):
-    docs = spark.createDataFrame([(i, "a\nb\n\na", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
-    got = {r.doc_id: r.text for r in line_dedup.cleaned(docs, 2).collect()}
-    assert got == {0: "a\nb\n", 1: "", 2: "", 3: ""}
+    texts = ["a\nb\n\na", "b\na", "a", "c\na\nb\nd"]
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(docs, 3).collect()}
+    assert got == cleaned([(i, t, f"s{i}") for i, t in enumerate(texts)], 3) == {0: "a\nb\n", 1: "", 2: "", 3: "c\nd"}
+
+
+def test_copies_of_one_document_stay_whole(spark):
+    rows = [(i, "one\ntwo\nthree", f"s{i}") for i in range(12)] + [(50 + i, f"own {i}\ntwo\nthree", f"s{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in line_dedup.cleaned(docs, 5).collect()} == {i: t for i, t, _ in rows}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
