@@ -267,7 +267,8 @@ def similar_links(marked: DataFrame, nodes: DataFrame, alike: float, max_distanc
     most `reach` bits. Equal fingerprints go by one of their sketches.
     """
     met = durable(_index(nodes, min(4, 8 - max_distance), reach, True, longest).select("key", F.col("a").alias("__fp")))
-    own = durable(marked.select("__fp", "__sketch").join(met.select("__fp").distinct(), "__fp", "left_semi").groupBy("__fp").agg(F.min("__sketch").alias("__sketch")))
+    one = marked.groupBy("__fp").agg(F.min("__sketch").alias("__sketch"))
+    own = durable(one.join(met.select("__fp").distinct(), "__fp", "left_semi"))
     rows = met.join(own, "__fp").select("key", "__fp", "__sketch")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(reach, alike), "a long, b long")
 
