@@ -20,9 +20,9 @@ from .common import map_texts
 from .pretokens import Splitter
 
 #: Entries of a task's memo of pieces before it is emptied, and the longest piece that it holds.
-MEMO, MEMO_CHARS = 250_000, 48
+MEMO, MEMO_CHARS = 400_000, 48
 #: Entries of the memo of token pairs before it is emptied.
-PAIRS = 300_000
+PAIRS = 600_000
 
 
 class Vocabulary:
