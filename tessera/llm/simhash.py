@@ -2,9 +2,10 @@
 
 A fingerprint has 64 bits, eight bytes at eight positions. Two fingerprints that differ in at most d bits
 have at least 8 - d bytes equal, position by position. The index therefore lists each fingerprint under the
-bytes at every choice of 8 - d positions: two fingerprints meet in some list if and only if their tally of
-shared positional bytes reaches that guaranteed minimum. Pairs that meet are verified bit by bit. Equal
-fingerprints are one entry of the index, so copies cost nothing there.
+bytes at every choice of 8 - d positions (four at most): two fingerprints meet in some list if their tally of
+shared positional bytes reaches that guaranteed minimum. In a list, the shared bytes of each pair are tallied,
+pairs below the minimum go, and the rest is verified bit by bit. Equal fingerprints are one entry of the
+index, so copies cost nothing there.
 
 A list that outgrows LIST fingerprints is not compared there: its members stream out and are listed again
 under each of d + 1 interleaved blocks of their bits, at least one of which is equal in any two that differ
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow_ready, durable, map_texts
 from .components import components
 
-#: Fingerprints that a list of the index may hold before it is listed again by nibbles.
+#: Fingerprints that a list of the index may hold before it is listed again by blocks of bits.
 LIST = 4096
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 15
@@ -112,8 +113,17 @@ def _lists(fp: Column, wanted: int) -> Column:
     return F.array(*keys)
 
 
-def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64))  # of a signed number it counts the absolute value's bits
+def _near(values: np.ndarray, other: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the values are within the distance of the other ones.
+
+    Count filter first: values that differ in at most `distance` bits share 8 - distance bytes or more.
+    """
+    apart = (values ^ other).view(np.uint64)  # of a signed number, bitwise_count takes the absolute value
+    if distance >= 8:
+        return np.bitwise_count(apart) <= distance
+    near = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - distance
+    near[near] = np.bitwise_count(apart[near]) <= distance
+    return near
 
 
 def _forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -124,7 +134,7 @@ def _forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             node = frontier.pop()
-            near = _differing(left, node) <= distance
+            near = _near(left, node, distance)
             if near.any():
                 met, left = left[near], left[~near]
                 links.extend((int(node), int(x)) for x in met)
@@ -134,7 +144,7 @@ def _forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 def _accompanied(values: np.ndarray, distance: int) -> np.ndarray:
     """The values that have another one within the distance."""
-    return values[[int((_differing(values, v) <= distance).sum()) > 1 for v in values]]
+    return values[[int(_near(values, v, distance).sum()) > 1 for v in values]]
 
 
 def _lists_of(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[int, list[pa.RecordBatch], bool]]:
@@ -179,7 +189,7 @@ def _compared(distance: int, limit: int | None, members: bool):
         place, sizes = np.arange(len(starts)), ends - starts
         inside = (place > 0) & (place < len(starts) - 1)
         at = starts[inside & (sizes == 2)]
-        at = at[_differing(fps[at], fps[at + 1]) <= distance]
+        at = at[_near(fps[at], fps[at + 1], distance)]
         both = np.concatenate((at, at + 1))
         found = _found(fps[both], fps[both], keys[both]) if members else _found(fps[at], fps[at + 1], None)
         rest = np.flatnonzero(~inside | (sizes > 2))
@@ -244,18 +254,25 @@ def _alike(reach: int, least: float):
     """Arrow function from rows (key, fp, sketch), sorted by key, to links (a, b) that connect all similar pairs of each list."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def linked(fps: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, int]]:
+        label = np.arange(len(fps))
+        for i in range(len(fps) - 1):
+            met = _near(fps[i + 1 :], fps[i], reach) & (label[i + 1 :] != label[i])
+            for j in (i + 1 + np.flatnonzero(met)).tolist():
+                if label[i] != label[j] and similarity(sketches[i], sketches[j]) >= least:
+                    label[label == label[j]] = label[i]
+                    yield int(fps[i]), int(fps[j])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[int, int]] = []
         for _, held, whole in _lists_of(batches):
-            if not whole:
-                continue
-            fps = np.concatenate([b.column(1).to_numpy() for b in held])
-            sketches = [s for b in held for s in b.column(2).to_pylist()]
-            label = np.arange(len(fps))
-            for i in range(len(fps) - 1):
-                for j in (i + 1 + np.flatnonzero((_differing(fps[i + 1 :], fps[i]) <= reach) & (label[i + 1 :] != label[i]))).tolist():
-                    if label[i] != label[j] and similarity(sketches[i], sketches[j]) >= least:
-                        label[label == label[j]] = label[i]
-                        yield pa.RecordBatch.from_arrays([pa.array([fps[i]]), pa.array([fps[j]])], schema=schema)
+            if whole:
+                fps = np.concatenate([b.column(1).to_numpy() for b in held])
+                links.extend(linked(fps, [s for b in held for s in b.column(2).to_pylist()]))
+            if len(links) > 4096:
+                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], schema)
+                links.clear()
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], schema)
 
     return run
 
