@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat across sites, but for a line's first occurrence; n_chars follows."""
-    found = line_dedup.cleaned(docs, MIN_SITES)
+    found = line_dedup.cleaned(docs, MIN_SITES, contexts=False)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 

@@ -4,8 +4,8 @@ Each line's hash carries two HyperLogLog sketches, of its sites and of its conte
 it); partial sketches merge in the aggregation, so a line that is on every page costs two for each task. Lines
 whose estimates are clear of the threshold are decided by them; lines near the threshold get exact counts of
 their distinct sites and contexts. A line that spreads only with the copies of one document has few contexts:
-it is not boilerplate, and its documents are left to the removal of near-duplicates. Of a boilerplate line the
-first occurrence stays, all others go. Only DataFrame functions are used.
+it is not boilerplate, and its documents are left to the removal of near-duplicates. Without contexts the sites
+alone decide. Of a boilerplate line the first occurrence stays, all others go. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -33,35 +33,35 @@ def _in_context(text: Column) -> Column:
     return F.arrays_zip(lines.alias("line"), F.concat(F.array(F.lit("")), lines).alias("before"), F.slice(lines, F.lit(2), F.size(lines)).alias("after"))
 
 
-def boilerplate(lines: DataFrame, least: int) -> DataFrame:
+def boilerplate(lines: DataFrame, least: int, contexts: bool = True) -> DataFrame:
     """lines (__key, __site, __context, __id, __row, __pos) -> (__key, __first): lines with at least so many distinct
-    sites and contexts, and where each is first."""
+    sites and, if contexts count, contexts, and where each is first."""
+    counted = ["__site", "__context"] if contexts else ["__site"]
 
     def estimate(column: str) -> Column:
         return F.hll_sketch_estimate(F.hll_sketch_agg(column, LG_K))
 
-    spread = lines.groupBy("__key").agg(
-        F.least(estimate("__site"), estimate("__context")).alias("__spread"), F.min(F.struct("__id", "__row", "__pos")).alias("__first")
-    )
+    least_of = F.least(*map(estimate, counted)) if contexts else estimate("__site")
+    spread = lines.groupBy("__key").agg(least_of.alias("__spread"), F.min(F.struct("__id", "__row", "__pos")).alias("__first"))
     found = durable(spread.where(F.col("__spread") >= least * (1 - NEAR)))
     near = F.col("__spread") <= least * (1 + NEAR)
     exact = (
         lines.join(found.where(near).select("__key"), "__key", "left_semi")
         .groupBy("__key")
-        .agg(F.count_distinct("__site").alias("__sites"), F.count_distinct("__context").alias("__contexts"))
-        .where((F.col("__sites") >= least) & (F.col("__contexts") >= least))
+        .agg(F.count_distinct("__site").alias("__sites"), *[F.count_distinct(c).alias("__contexts") for c in counted[1:]])
+        .where(" and ".join(f"{c} >= {least}" for c in ["__sites", "__contexts"][: len(counted)]))
     )
     return found.where(~near).select("__key", "__first").union(found.join(exact, "__key", "left_semi").select("__key", "__first"))
 
 
 def cleaned(
-    docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: tuple[str, str] | None = None
+    docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: tuple[str, str] | None = None, contexts: bool = True
 ) -> DataFrame:
     """docs with boilerplate lines taken out of the text; all columns stay, in order.
 
     A line is a stretch between line feeds; spaces, tabs and carriage returns at its ends do not count. Blank
-    lines are never boilerplate. A line is boilerplate if it occurs on min_sites distinct sites or more, and in as
-    many distinct contexts; a NULL site is none. Its first occurrence (by id, then by the text's hash, then by place) stays; rows with
+    lines are never boilerplate. A line is boilerplate if it occurs on min_sites distinct sites or more and, unless
+    contexts is false, in as many distinct contexts; a NULL site is none. Its first occurrence (by id, then by the text's hash, then by place) stays; rows with
     the same id and text are one occurrence. A NULL text becomes empty; a text may become empty, its row
     stays. counts names two columns to add: lines before, and lines removed.
     """
@@ -73,7 +73,7 @@ def cleaned(
     ).select("*", F.col("__in.line").alias("__line"), F.xxhash64("__in.before", "__in.after").alias("__context"))
     bare = F.btrim(F.col("__line"), F.lit(EDGES))
     lines = durable(lines.where(bare != "").select("__id", "__row", "__pos", "__site", "__context", F.unhex(F.md5(bare.cast("binary"))).alias("__key")))
-    known = durable(boilerplate(lines, min_sites))
+    known = durable(boilerplate(lines, min_sites, contexts))
     gone = (
         lines.join(known, "__key")
         .where(~F.struct("__id", "__row", "__pos").eqNullSafe(F.col("__first")))
