@@ -13,10 +13,7 @@ in d bits. A task holds 8 bytes for each member of a list and lets go only the l
 it, never all pairs.
 
 Near copies of texts differ in more bits than an index of guaranteed matches can cover. deduplicated() therefore
-lists fingerprints under every three bytes, which finds all pairs up to five bits, and also compares whatever
-else meets in a list up to `reach` bits; such pairs are links only if the texts' shingles are similar enough.
-That similarity is exact for texts of up to SKETCH distinct shingles together, and beyond it is
-estimated from the SKETCH smallest digests, with a standard error of 2.5 % at a similarity of 0.8.
+takes its pairs from the texts' shingles (similar.py), not from the index.
 """
 
 from __future__ import annotations
@@ -250,46 +247,6 @@ def links(nodes: DataFrame, max_distance: int, longest: int = LIST) -> DataFrame
     return _index(nodes, min(4, 8 - max_distance), max_distance, False, longest).select("a", "b")
 
 
-def _alike(reach: int, least: float):
-    """Arrow function from rows (key, fp, sketch), sorted by key, to links (a, b) that connect all similar pairs of each list."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def linked(fps: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, int]]:
-        label = np.arange(len(fps))
-        for i in range(len(fps) - 1):
-            met = _near(fps[i + 1 :], fps[i], reach) & (label[i + 1 :] != label[i])
-            for j in (i + 1 + np.flatnonzero(met)).tolist():
-                if label[i] != label[j] and similarity(sketches[i], sketches[j]) >= least:
-                    label[label == label[j]] = label[i]
-                    yield int(fps[i]), int(fps[j])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[int, int]] = []
-        for _, held, whole in _lists_of(batches):
-            if whole:
-                fps = np.concatenate([b.column(1).to_numpy() for b in held])
-                links.extend(linked(fps, [s for b in held for s in b.column(2).to_pylist()]))
-            if len(links) > 4096:
-                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], schema)
-                links.clear()
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], schema)
-
-    return run
-
-
-def similar_links(marked: DataFrame, nodes: DataFrame, alike: float, max_distance: int, reach: int, longest: int = LIST) -> DataFrame:
-    """marked (__fp, __sketch), nodes (__fp, distinct) -> (a, b): links that connect all similar pairs that meet in a list.
-
-    Pairs meet in a list if their fingerprints share 8 - max_distance bytes, and are compared if they differ in at
-    most `reach` bits. Equal fingerprints go by one of their sketches.
-    """
-    met = durable(_index(nodes, min(4, 8 - max_distance), reach, True, longest).select("key", F.col("a").alias("__fp")))
-    one = marked.groupBy("__fp").agg(F.min("__sketch").alias("__sketch"))
-    own = durable(one.join(met.select("__fp").distinct(), "__fp", "left_semi"))
-    rows = met.join(own, "__fp").select("key", "__fp", "__sketch")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(reach, alike), "a long, b long")
-
-
 def _components(marked: DataFrame, least: Column, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """marked (__fp, ...) -> (__fp, __component): the smallest `least` among the rows of the fingerprint's component.
 
@@ -321,19 +278,28 @@ def grouped(docs: DataFrame, max_distance: int = 4, shingle_words: int = 4, id_c
 
 
 def deduplicated(
-    docs: DataFrame, shingle_words: int = 5, alike: float = 0.8, max_distance: int = 5, reach: int = 12, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle_words: int = 5, alike: float = 0.8, max_distance: int = 5, reach: int | None = 12, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row of docs, with all its columns, for each group of near-duplicates: the one of the smallest id.
 
-    Equal fingerprints are one group. Others are linked if their texts' similarity is `alike` or more and their
-    fingerprints differ in at most max_distance bits; links up to `reach` bits are found where the fingerprints
-    share 8 - max_distance bytes. Groups are what chains of links connect. Of rows with the smallest id the one
-    of the smallest hash of its text stays, and of equal rows one. A NULL id comes before all others.
+    Equal fingerprints are one group. Others are linked if their texts' similarity is `alike` or more and, unless reach
+    is None, their fingerprints differ in at most `reach` bits and share 8 - max_distance bytes. Groups are what chains
+    of links connect. Of rows with the smallest id the one of the smallest hash of its text stays, and of equal
+    rows one. A NULL id comes before all others.
     """
+    from . import similar
+
+    def near(a: Column, b: Column) -> Column:
+        apart = a.bitwiseXOR(b)
+        shared = sum(((F.shiftrightunsigned(apart, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8)), F.lit(0))
+        return (F.bit_count(apart) <= reach) & (shared >= 8 - max_distance)
+
     row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     bare = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("__row"), F.col(f"`{text_col}`").alias("__body"))
-    marked = durable(fingerprints(bare, shingle_words, ["__id", "__row"], "__body", sketches=True))
-    chosen = _components(marked, F.struct("__id", "__row"), lambda nodes: similar_links(marked, nodes, alike, max_distance, reach)).select("__component.*").distinct()
+    rows = durable(similar.marked(bare, "__body", ["__id", "__row"], shingle_words, alike))
+    marked = rows.select(F.col("__node").alias("__fp"), "__id", "__row")
+    linked = similar.links(rows, bare.select("__row", "__body"), shingle_words, alike, None if reach is None else near)
+    chosen = _components(marked, F.struct("__id", "__row"), lambda _: linked).select("__component.*").distinct()
     often = marked.groupBy("__id", "__row").agg(F.count("*").alias("__n"))
     chosen = durable(chosen.alias("c").join(often.alias("o"), F.expr("c.__row = o.__row and c.__id <=> o.__id")).select(F.col("c.__id").alias("__i"), F.col("c.__row").alias("__r"), "__n"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{id_col}`").alias("__id"), row.alias("__row"))
