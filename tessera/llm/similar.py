@@ -7,7 +7,9 @@ sizes and the places of the shingle leave room for the similarity; no pair that
 the same links: shingles that are common in a sample come last, so lists are short.
 
 Candidates are verified in three rounds, so that a large group does not cost all its pairs: neighbours by size in each
-list, neighbours in an order by chance, and then all pairs that the links so far have not brought together.
+list, neighbours in an order by chance, and then all pairs that the links so far have not brought together. The
+verdict is exact, on all distinct shingles of both texts; before it go pairs whose shingles differ too much in number
+by last byte of their hashes, which no similar pair does.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_ready, durable, map_texts
 from .components import components
-from .simhash import majority, shingle_hashes, sketch, similarity
+from .simhash import majority, shingle_hashes
 
 #: Documents that show which shingles are common, about; occurrences there from which on one is; and how many may be.
 SHOWN, OFTEN, COMMON = 8000, 3, 100_000
@@ -61,8 +63,22 @@ def prefix(own: np.ndarray, alike: float, known: np.ndarray, counts: np.ndarray)
     return own[np.lexsort((own, rank))[:size]]
 
 
+def spread(own: np.ndarray) -> bytes:
+    """How many of the distinct hashes have each last byte; nothing if a number does not fit a byte."""
+    counts = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_alike(a: bytes, b: bytes, alike: float) -> bool:
+    """Whether texts of these spreads can be similar: they share at most the lesser number of each last byte."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if not len(x) or not len(y):
+        return True
+    return np.minimum(x, y).sum(dtype=np.int64) >= (x.sum(dtype=np.int64) + y.sum(dtype=np.int64)) * alike / (1 + alike) - SLACK
+
+
 def marked(docs: DataFrame, text_col: str, keep: list[str], shingle_words: int, alike: float) -> DataFrame:
-    """The columns keep; __fp; __node long, equal for texts of equal fingerprints and shingles; __n long, the number of distinct shingles; __prefix."""
+    """The columns keep; __fp; __node long, equal for texts of equal fingerprints and shingles; __n long, the number of distinct shingles; __prefix; __spread."""
     known, counts = common(docs, text_col, shingle_words)
 
     def make():
@@ -71,11 +87,11 @@ def marked(docs: DataFrame, text_col: str, keep: list[str], shingle_words: int,
             fps = [majority(h) for h in hashes]
             own = [np.unique(h) for h in hashes]
             nodes = np.fromiter((xxhash.xxh64_intdigest(o.tobytes(), f) for o, f in zip(own, fps)), np.uint64, len(texts))
-            return [np.array(fps, np.uint64).view(np.int64), nodes.view(np.int64), [len(o) for o in own], [prefix(o, alike, known, counts).view(np.int64) for o in own]]
+            return [np.array(fps, np.uint64).view(np.int64), nodes.view(np.int64), [len(o) for o in own], [prefix(o, alike, known, counts).view(np.int64) for o in own], list(map(spread, own))]
 
         return work
 
-    return map_texts(docs, text_col, keep, "__fp long, __node long, __n long, __prefix array<long>", make)
+    return map_texts(docs, text_col, keep, "__fp long, __node long, __n long, __prefix array<long>, __spread binary", make)
 
 
 def _candidates(keys: np.ndarray, packed: np.ndarray, alike: float, furthest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -141,14 +157,20 @@ def _pairs(alike: float, furthest: int | None):
     return run
 
 
-def _verified(alike: float):
-    """Arrow function from (a, b, what is known of a's shingles, of b's) to the similar ones of these pairs."""
+def alike_enough(a: bytes, b: bytes, alike: float) -> bool:
+    """Whether two texts, given by all their distinct hashes, have that similarity."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, True))
+    return both >= alike * (len(x) + len(y) - both)
+
+
+def _judged(judge: Callable[[bytes, bytes, float], bool], alike: float):
+    """Arrow function from (a, b, what judge takes of a, of b) to the pairs that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = zip(batch.column(2), batch.column(3))
-            alright = pa.array([similarity(x.as_py(), y.as_py()) >= alike for x, y in known], pa.bool_())
-            yield batch.select(["a", "b"]).filter(alright)
+            both = zip(batch.column(2), batch.column(3))
+            yield batch.select(["a", "b"]).filter(pa.array([bool(judge(x.as_py(), y.as_py(), alike)) for x, y in both], pa.bool_()))
 
     return run
 
@@ -159,7 +181,7 @@ def links(rows: DataFrame, bodies: DataFrame, shingle_words: int, alike: float,
     near says of two fingerprints whether a similar pair counts; all do without it. Equal fingerprints are linked.
     """
     arrow_ready(rows.sparkSession)
-    first = [F.first(c).alias(c) for c in ("__fp", "__n", "__prefix")]
+    first = [F.first(c).alias(c) for c in ("__fp", "__n", "__prefix", "__spread")]
     nodes = durable(rows.groupBy("__node").agg(*first, F.min("__row").alias("__of")))
     least = nodes.groupBy("__fp").agg(F.min("__node").alias("b"), F.count("*").alias("c")).where("c > 1").select("__fp", "b")
     same = nodes.join(least, "__fp").where("__node <> b").select(F.col("__node").alias("a"), "b")
@@ -170,18 +192,24 @@ def links(rows: DataFrame, bodies: DataFrame, shingle_words: int, alike: float,
     members = durable(index.repartition("key").sortWithinPartitions(*order).mapInArrow(_members(alike), "key long, packed long, node long"))
 
     def make():
-        return lambda texts: [[sketch(shingle_hashes(t, shingle_words)) for t in texts]]
+        return lambda texts: [[np.unique(shingle_hashes(t, shingle_words)).astype("<u8").tobytes() for t in texts]]
+
+    known = durable(members.select("node").distinct().join(nodes.select(F.col("__node").alias("node"), "__fp", "__spread", "__of"), "node"))
 
-    chosen = members.select("node").distinct().join(nodes.select(F.col("__node").alias("node"), "__fp", "__of"), "node")
-    texts = bodies.join(chosen, F.col("__row") == F.col("__of")).select("node", "__fp", "__body")
-    known = durable(map_texts(texts, "__body", ["node", "__fp"], "__known binary", make).dropDuplicates(["node"]))
+    def beside(pairs: DataFrame, what: DataFrame, *columns: str) -> DataFrame:
+        for n in "ab":
+            pairs = pairs.join(what.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns]), n)
+        return pairs
 
     def similar(pairs: DataFrame) -> DataFrame:
-        of_a, of_b = (known.select(F.col("node").alias(n), F.col("__fp").alias(f"__fp_{n}"), F.col("__known").alias(f"__known_{n}")) for n in "ab")
-        both = pairs.join(of_a, "a").join(of_b, "b")
+        both = beside(pairs, known, "__fp", "__spread")
         if near is not None:
             both = both.where(near(F.col("__fp_a"), F.col("__fp_b")))
-        return both.select("a", "b", "__known_a", "__known_b").mapInArrow(_verified(alike), "a long, b long")
+        left = durable(both.select("a", "b", "__spread_a", "__spread_b").mapInArrow(_judged(may_be_alike, alike), "a long, b long"))
+        chosen = durable(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "__of"), "node"))
+        texts = bodies.join(chosen, F.col("__row") == F.col("__of")).select("node", "__body")
+        hashes = durable(map_texts(texts, "__body", ["node"], "__hashes binary", make).dropDuplicates(["node"]))
+        return beside(left, hashes, "__hashes").select("a", "b", "__hashes_a", "__hashes_b").mapInArrow(_judged(alike_enough, alike), "a long, b long")
 
     def candidates(label: DataFrame | None, by: list, furthest: int | None) -> DataFrame:
         """Pairs of different labels; by orders the lists."""

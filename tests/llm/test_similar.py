@@ -39,3 +39,30 @@ def test_candidates_of_lists_across_batches():
     assert all(a[0][-1] < b[0][0] for a, b in zip(whole, whole[1:]))
     got = {(int(w[2][a]), int(w[2][b])) for w in whole for i, j in similar._candidates(w[0], w[1], 0.8) for a, b in zip(i, j)}
     assert got == {(a, b) for a in range(300) for b in range(a + 1, 300) if keys[a] == keys[b]}
+
+
+def test_long_texts_near_the_threshold_are_judged_exactly(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for n in range(24):
+        base = [f"{n}w{i}" for i in range(600)]
+        copy = list(base)
+        for at in rng.choice(120, 12 + n % 4, False):  # 13 words in places five or more apart are the most for 0.8
+            copy[int(at) * 5] = f"{n}x{at}"
+        texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    of = near_classes(texts, 5, 0.8, 8, 64)
+    assert 24 < len(set(of)) < 48
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs, reach=None).collect()) == sorted(set(of))
+
+
+def test_spreads_let_all_similar_pairs_pass():
+    rng = np.random.default_rng(7)
+    for size in (1, 9, 60, 800, 90_000):
+        own = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for shared in (0.85, 0.9, 0.95):
+            other = np.unique(np.concatenate((own[: int(shared * size)], rng.integers(0, 2**63, size - int(shared * size), dtype=np.uint64))))
+            if similar.alike_enough(own.tobytes(), other.tobytes(), 0.8):
+                assert similar.may_be_alike(similar.spread(own), similar.spread(other), 0.8)
+    few = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(2)]
+    assert not similar.may_be_alike(*map(similar.spread, few), 0.8)
