@@ -52,10 +52,32 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def forget(spark: SparkSession) -> None:
-    """Removes the tables that operators of this process have written; results that read them end with it."""
-    while _tables:
-        dropped(spark, _tables.pop())
+def mark() -> int:
+    """How many tables operators of this process have written so far; for forget()."""
+    return len(_tables)
+
+
+def forget(spark: SparkSession, since: int = 0, but: Sequence[str] = ()) -> None:
+    """Removes the tables that operators of this process have written since a mark, but for some paths; results that read them end with them."""
+    for path in _tables[since:]:
+        if path not in but:
+            dropped(spark, path)
+
+
+class Scratch:
+    """Tables in the shared folder that go together, once what they lead to is written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        found, path = written(df)
+        self.paths.append(path)
+        return found
+
+    def clear(self, spark: SparkSession) -> None:
+        while self.paths:
+            dropped(spark, self.paths.pop())
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -66,6 +88,8 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Removes a table that no later plan reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _tables:
+        _tables.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,4 +161,4 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-__all__ = ["SLICE", "WORD", "shared_dir", "written", "durable", "dropped", "forget", "table", "id_crc", "map_texts", "arrow_ready", "released"]
+__all__ = ["SLICE", "WORD", "shared_dir", "written", "durable", "dropped", "forget", "mark", "Scratch", "table", "id_crc", "map_texts", "arrow_ready", "released"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import Scratch, dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,12 +23,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """edges (a long, b long) -> (node, root): the smallest node that each node of an edge reaches.
 
     Loops and repeated edges are allowed; NULL ends are not. A node without edges has no row. Every round is
     written to the shared folder, so the plan stays short and lost executors cost one round. Rounds go on
     until no edge changes (a logarithmic number); only a count and a checksum of the edges reach the driver.
+    The last round's table, which the result reads, belongs to scratch if that is given.
     """
     spark = edges.sparkSession
     now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -36,6 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == state or not found[0]:
+            if scratch is not None:
+                scratch.paths.append(path)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = tuple(found)
         old = path

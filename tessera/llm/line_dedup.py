@@ -1,11 +1,9 @@
 """Removal of boilerplate lines, found by how many distinct sites a line spreads over.
 
-Each line's hash carries two HyperLogLog sketches, of its sites and of its contexts (the lines before and after
-it); partial sketches merge in the aggregation, so a line that is on every page costs two for each task. Lines
-whose estimates are clear of the threshold are decided by them; lines near the threshold get exact counts of
-their distinct sites and contexts. A line that spreads only with the copies of one document has few contexts:
-it is not boilerplate, and its documents are left to the removal of near-duplicates. Without contexts the sites
-alone decide. Of a boilerplate line the first occurrence stays, all others go. Only DataFrame functions are used.
+Each line's hash carries a HyperLogLog sketch of its sites; partial sketches merge in the aggregation, so a line
+that is on every page costs one for each task. Lines whose estimates are clear of the threshold are decided by
+them; lines near the threshold get exact counts of their distinct sites. Of a boilerplate line the first
+occurrence stays, all others go. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -27,53 +25,36 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _in_context(text: Column) -> Column:
-    """Each line with the one before and the one after; a last entry holds no line."""
-    lines = _lines(text)
-    return F.arrays_zip(lines.alias("line"), F.concat(F.array(F.lit("")), lines).alias("before"), F.slice(lines, F.lit(2), F.size(lines)).alias("after"))
-
-
-def boilerplate(lines: DataFrame, least: int, contexts: bool = True) -> DataFrame:
-    """lines (__key, __site, __context, __id, __row, __pos) -> (__key, __first): lines with at least so many distinct
-    sites and, if contexts count, contexts, and where each is first."""
-    counted = ["__site", "__context"] if contexts else ["__site"]
-
-    def estimate(column: str) -> Column:
-        return F.hll_sketch_estimate(F.hll_sketch_agg(column, LG_K))
-
-    least_of = F.least(*map(estimate, counted)) if contexts else estimate("__site")
-    spread = lines.groupBy("__key").agg(least_of.alias("__spread"), F.min(F.struct("__id", "__row", "__pos")).alias("__first"))
+def boilerplate(lines: DataFrame, least: int) -> DataFrame:
+    """lines (__key, __site, __id, __row, __pos) -> (__key, __first): lines with at least so many distinct sites, and where each is first."""
+    spread = lines.groupBy("__key").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("__site", LG_K)).alias("__spread"), F.min(F.struct("__id", "__row", "__pos")).alias("__first")
+    )
     found = durable(spread.where(F.col("__spread") >= least * (1 - NEAR)))
     near = F.col("__spread") <= least * (1 + NEAR)
-    exact = (
-        lines.join(found.where(near).select("__key"), "__key", "left_semi")
-        .groupBy("__key")
-        .agg(F.count_distinct("__site").alias("__sites"), *[F.count_distinct(c).alias("__contexts") for c in counted[1:]])
-        .where(" and ".join(f"{c} >= {least}" for c in ["__sites", "__contexts"][: len(counted)]))
-    )
+    exact = lines.join(found.where(near).select("__key"), "__key", "left_semi").groupBy("__key").agg(F.count_distinct("__site").alias("__sites")).where(F.col("__sites") >= least)
     return found.where(~near).select("__key", "__first").union(found.join(exact, "__key", "left_semi").select("__key", "__first"))
 
 
-def cleaned(
-    docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: tuple[str, str] | None = None, contexts: bool = True
-) -> DataFrame:
+def cleaned(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: tuple[str, str] | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of the text; all columns stay, in order.
 
     A line is a stretch between line feeds; spaces, tabs and carriage returns at its ends do not count. Blank
-    lines are never boilerplate. A line is boilerplate if it occurs on min_sites distinct sites or more and, unless
-    contexts is false, in as many distinct contexts; a NULL site is none. Its first occurrence (by id, then by the text's hash, then by place) stays; rows with
-    the same id and text are one occurrence. A NULL text becomes empty; a text may become empty, its row
-    stays. counts names two columns to add: lines before, and lines removed.
+    lines are never boilerplate. A line is boilerplate if it occurs on min_sites distinct sites or more; a NULL
+    site is none. Its first occurrence (by id, then by the text's hash, then by place) stays; rows with the same
+    id and text are one occurrence. A NULL text becomes empty; a text may become empty, its row stays. counts
+    names two columns to add: lines before, and lines removed. An empty table gives an empty result; names of
+    other columns do not matter.
     """
     names = docs.columns
     row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(f"`{id_col}`").alias("__id"), row.alias("__row"))
     lines = docs.select(
-        F.col(f"`{id_col}`").alias("__id"), row.alias("__row"), F.col(f"`{site_col}`").cast("string").alias("__site"), F.posexplode(_in_context(F.col(f"`{text_col}`"))).alias("__pos", "__in")
-    ).select("*", F.col("__in.line").alias("__line"), F.xxhash64("__in.before", "__in.after").alias("__context"))
+        F.col(f"`{id_col}`").alias("__id"), row.alias("__row"), F.col(f"`{site_col}`").cast("string").alias("__site"), F.posexplode(_lines(F.col(f"`{text_col}`"))).alias("__pos", "__line")
+    )
     bare = F.btrim(F.col("__line"), F.lit(EDGES))
-    lines = durable(lines.where(bare != "").select("__id", "__row", "__pos", "__site", "__context", F.unhex(F.md5(bare.cast("binary"))).alias("__key")))
-    known = durable(boilerplate(lines, min_sites, contexts))
+    lines = durable(lines.where(bare != "").select("__id", "__row", "__pos", "__site", F.unhex(F.md5(bare.cast("binary"))).alias("__key")))
+    known = durable(boilerplate(lines, min_sites))
     gone = (
         lines.join(known, "__key")
         .where(~F.struct("__id", "__row", "__pos").eqNullSafe(F.col("__first")))
@@ -94,14 +75,10 @@ def oracle(min_sites: int) -> str:
     """DuckDB SQL for the result of the query over documents."""
     return f"""
 WITH l AS (
-  SELECT doc_id, source, line, i, trim(line, ' ' || chr(9) || chr(13)) AS bare,
-         (coalesce(lag(line) OVER w, ''), lead(line) OVER w) AS context
+  SELECT doc_id, source, line, i, trim(line, ' ' || chr(9) || chr(13)) AS bare
   FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
-  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k AS (
-  SELECT bare, min(doc_id) AS first_doc FROM l WHERE bare <> ''
-  GROUP BY bare HAVING count(DISTINCT source) >= {min_sites} AND count(DISTINCT context) >= {min_sites}),
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+k AS (SELECT bare, min(doc_id) AS first_doc FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= {min_sites}),
 f AS (SELECT k.bare, k.first_doc, min(l.i) AS first_i FROM k JOIN l ON l.bare = k.bare AND l.doc_id = k.first_doc GROUP BY ALL),
 m AS (
   SELECT l.doc_id, l.line, l.i, f.bare IS NOT NULL AND NOT (l.doc_id = f.first_doc AND l.i = f.first_i) AS gone

@@ -6,10 +6,11 @@ therefore lists each text under the shingles of that prefix. Pairs that meet in
 sizes and the places of the shingle leave room for the similarity; no pair that has it is lost. Any order gives
 the same links: shingles that are common in a sample come last, so lists are short.
 
-Candidates are verified in three rounds, so that a large group does not cost all its pairs: neighbours by size in each
-list, neighbours in an order by chance, and then all pairs that the links so far have not brought together. The
-verdict is exact, on all distinct shingles of both texts; before it go pairs whose shingles differ too much in number
-by last byte of their hashes, which no similar pair does.
+Candidates are verified in three rounds, so that a large group does not cost all its pairs: pairs of near fingerprints
+from the byte-position index (simhash.py) and neighbours by size in each list; neighbours in an order by chance; and then
+all pairs that the links so far have not brought together. The verdict is exact, on all distinct shingles of both texts
+(by their 64-bit hashes); before it go pairs whose shingles differ too much in number by last byte of their hashes, which
+no similar pair does.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, durable, map_texts
+from . import simhash
+from .common import Scratch, arrow_ready, map_texts
 from .components import components
 from .simhash import majority, shingle_hashes
 
@@ -30,6 +32,10 @@ from .simhash import majority, shingle_hashes
 SHOWN, OFTEN, COMMON = 8000, 3, 100_000
 #: Places in a list within which pairs are verified first; four times as many in the second round.
 NEIGHBOURS = 16
+#: Rows of a list that a task holds at a time, about; longer lists are cut, and for all their pairs dealt in parts.
+HELD = 1 << 17
+#: Rows of a list from which on only pairs of different labels are looked at one by one.
+LONG = 512
 #: What float arithmetic may be off by.
 SLACK = 1e-9
 
@@ -78,41 +84,57 @@ def may_be_alike(a: bytes, b: bytes, alike: float) -> bool:
 
 
 def marked(docs: DataFrame, text_col: str, keep: list[str], shingle_words: int, alike: float) -> DataFrame:
-    """The columns keep; __fp; __node long, equal for texts of equal fingerprints and shingles; __n long, the number of distinct shingles; __prefix; __spread."""
+    """The columns keep; __fp; __node long, equal for texts of equal distinct shingles; __n long, their number; __prefix; __spread."""
     known, counts = common(docs, text_col, shingle_words)
 
     def make():
         def work(texts):
             hashes = [shingle_hashes(t, shingle_words) for t in texts]
-            fps = [majority(h) for h in hashes]
+            fps = np.fromiter(map(majority, hashes), np.uint64, len(texts))
             own = [np.unique(h) for h in hashes]
-            nodes = np.fromiter((xxhash.xxh64_intdigest(o.tobytes(), f) for o, f in zip(own, fps)), np.uint64, len(texts))
-            return [np.array(fps, np.uint64).view(np.int64), nodes.view(np.int64), [len(o) for o in own], [prefix(o, alike, known, counts).view(np.int64) for o in own], list(map(spread, own))]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(o.tobytes()) for o in own), np.uint64, len(texts))
+            return [fps.view(np.int64), nodes.view(np.int64), [len(o) for o in own], [prefix(o, alike, known, counts).view(np.int64) for o in own], list(map(spread, own))]
 
         return work
 
     return map_texts(docs, text_col, keep, "__fp long, __node long, __n long, __prefix array<long>, __spread binary", make)
 
 
+def _room(a: np.ndarray, b: np.ndarray, alike: float) -> np.ndarray:
+    """Whether texts can be similar, given by size << 32 | the shared shingle's place in their prefix."""
+    n, m = a >> 32, b >> 32
+    fits = np.minimum(n, m) >= alike * np.maximum(n, m) - SLACK
+    most = np.minimum(n - (a & 0xFFFFFFFF), m - (b & 0xFFFFFFFF))
+    return fits & (most >= (n + m) * alike / (1 + alike) - SLACK)
+
+
 def _candidates(keys: np.ndarray, packed: np.ndarray, alike: float, furthest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs in whole lists, sorted by key, that can be similar: all, if the lists are sorted by size, or those at most `furthest` places apart."""
-    sizes, places = packed >> 32, packed & 0xFFFFFFFF
+    sizes = packed >> 32
     i, apart = np.arange(len(keys)), 1
     while len(i := i[i + apart < len(keys)]) and (furthest is None or apart <= furthest):
-        j = i + apart
-        i = i[keys[i] == keys[j]]
-        j = i + apart
-        fits = np.minimum(sizes[i], sizes[j]) >= alike * np.maximum(sizes[i], sizes[j]) - SLACK
+        i = i[keys[i] == keys[i + apart]]
         if furthest is None:  # sizes only grow: who fails here is done
-            i, j, fits = i[fits], j[fits], fits[fits]
-        most = np.minimum(sizes[i] - places[i], sizes[j] - places[j])
-        room = fits & (most >= (sizes[i] + sizes[j]) * alike / (1 + alike) - SLACK)
+            i = i[sizes[i] >= alike * sizes[i + apart] - SLACK]
+        j = i + apart
+        room = _room(packed[i], packed[j], alike)
         yield i[room], j[room]
         apart += 1
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of rows sorted by their first one, cut between its values."""
+def _of_different_labels(packed: np.ndarray, labels: np.ndarray, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one list that can be similar and differ in their labels; rows of the most frequent label are not compared with each other."""
+    values, counts = np.unique(labels, return_counts=True)
+    most = labels == values[counts.argmax()]
+    for i in np.flatnonzero(~most):
+        other = (labels != labels[i]) & _room(packed[i], packed, alike)
+        other[:i] &= most[:i]
+        j = np.flatnonzero(other)
+        yield np.full(len(j), i), j
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch], held_rows: int | None = None) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by their first one, cut between its values, and within one after held_rows, if that is given."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -124,19 +146,25 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
             yield [np.concatenate(c) for c in zip(*done)]
             held = []
         held.append([c[cut:] for c in columns])
+        if held_rows and sum(len(h[0]) for h in held) > held_rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
     if held:
         yield [np.concatenate(c) for c in zip(*held)]
 
 
 def _members(alike: float):
-    """Arrow function from (key, packed, node), sorted, to those rows that have a candidate in their list."""
+    """Arrow function from (key, packed, node), sorted, to those rows that have a candidate in their list; all rows of a part of a long list."""
     schema = pa.schema([(n, pa.int64()) for n in ("key", "packed", "node")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_lists(batches):
-            met = np.zeros(len(columns[0]), bool)
-            for i, j in _candidates(columns[0], columns[1], alike):
-                met[i] = met[j] = True
+        for columns in _whole_lists(batches, HELD):
+            keys = columns[0]
+            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+            met = np.repeat(np.diff(np.concatenate((starts, [len(keys)]))) > LONG, np.diff(np.concatenate((starts, [len(keys)]))))
+            short = np.flatnonzero(~met)
+            for i, j in _candidates(keys[short], columns[1][short], alike):
+                met[short[i]] = met[short[j]] = True
             yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], schema=schema)
 
     return run
@@ -146,9 +174,24 @@ def _pairs(alike: float, furthest: int | None):
     """Arrow function from (key, packed, node, label), sorted, to candidates (a, b) of different labels."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def found(keys: np.ndarray, packed: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if furthest is not None:
+            yield from _candidates(keys, packed, alike, furthest)
+            return
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+        sizes = np.diff(np.concatenate((starts, [len(keys)])))
+        mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
+        short = np.flatnonzero(np.repeat(mixed & (sizes <= LONG), sizes))
+        for i, j in _candidates(keys[short], packed[short], alike):
+            yield short[i], short[j]
+        for n in np.flatnonzero(mixed & (sizes > LONG)):
+            own = slice(starts[n], starts[n] + sizes[n])
+            for i, j in _of_different_labels(packed[own], labels[own], alike):
+                yield i + starts[n], j + starts[n]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, packed, nodes, labels in _whole_lists(batches):
-            for i, j in _candidates(keys, packed, alike, furthest):
+        for keys, packed, nodes, labels in _whole_lists(batches, None if furthest is None else HELD):
+            for i, j in found(keys, packed, labels):
                 apart = labels[i] != labels[j]
                 a, b = nodes[i[apart]], nodes[j[apart]]
                 if len(a):
@@ -157,6 +200,17 @@ def _pairs(alike: float, furthest: int | None):
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (key, ..., label): without lists of one label, and with lists of over HELD rows dealt to parts, so that each pair of rows of a list is in some part."""
+    often = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    met = rows.join(often.select("key", F.ceil(F.col("n") / HELD).cast("int").alias("parts")), "key")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    cells = F.transform(others, lambda x: F.xxhash64(F.col("key"), F.least(x, own), F.greatest(x, own)))
+    keys = F.when(F.col("parts") == 1, F.array("key")).otherwise(cells)
+    return met.select(F.explode(keys).alias("key"), *[c for c in rows.columns if c != "key"])
+
+
 def alike_enough(a: bytes, b: bytes, alike: float) -> bool:
     """Whether two texts, given by all their distinct hashes, have that similarity."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -175,52 +229,58 @@ def _judged(judge: Callable[[bytes, bytes, float], bool], alike: float):
     return run
 
 
-def links(rows: DataFrame, bodies: DataFrame, shingle_words: int, alike: float, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """rows (__row and what marked() gives), bodies (__row, __body) -> (a, b): links that connect all similar nodes.
-
-    near says of two fingerprints whether a similar pair counts; all do without it. Equal fingerprints are linked.
-    """
+def links(rows: DataFrame, bodies: DataFrame, shingle_words: int, alike: float, max_distance: int, scratch: Scratch) -> DataFrame:
+    """rows (__row and what marked() gives), bodies (__row, __body) -> (a, b): links that connect all similar nodes."""
     arrow_ready(rows.sparkSession)
-    first = [F.first(c).alias(c) for c in ("__fp", "__n", "__prefix", "__spread")]
-    nodes = durable(rows.groupBy("__node").agg(*first, F.min("__row").alias("__of")))
-    least = nodes.groupBy("__fp").agg(F.min("__node").alias("b"), F.count("*").alias("c")).where("c > 1").select("__fp", "b")
-    same = nodes.join(least, "__fp").where("__node <> b").select(F.col("__node").alias("a"), "b")
+    first = [F.first(c).alias(c) for c in ("__n", "__prefix", "__spread")]
+    nodes = scratch.keep(rows.groupBy("__node").agg(*first, F.min("__fp").alias("__fp"), F.min("__row").alias("__of")))
 
     packed = F.shiftleft("__n", 32).bitwiseOR(F.col("__at").cast("long"))
     index = nodes.select("__node", "__n", F.posexplode("__prefix").alias("__at", "key")).select("key", packed.alias("packed"), F.col("__node").alias("node"))
     order = ["key", "packed", "node"]
-    members = durable(index.repartition("key").sortWithinPartitions(*order).mapInArrow(_members(alike), "key long, packed long, node long"))
+    members = scratch.keep(index.repartition("key").sortWithinPartitions(*order).mapInArrow(_members(alike), "key long, packed long, node long"))
+    known = scratch.keep(members.select("node").distinct().join(nodes.select(F.col("__node").alias("node"), "__fp", "__spread", "__of"), "node"))
 
     def make():
         return lambda texts: [[np.unique(shingle_hashes(t, shingle_words)).astype("<u8").tobytes() for t in texts]]
 
-    known = durable(members.select("node").distinct().join(nodes.select(F.col("__node").alias("node"), "__fp", "__spread", "__of"), "node"))
-
-    def beside(pairs: DataFrame, what: DataFrame, *columns: str) -> DataFrame:
+    def beside(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
         for n in "ab":
-            pairs = pairs.join(what.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns]), n)
+            pairs = pairs.join(what.select(F.col("node").alias(n), F.col(column).alias(f"{column}_{n}")), n)
         return pairs
 
     def similar(pairs: DataFrame) -> DataFrame:
-        both = beside(pairs, known, "__fp", "__spread")
-        if near is not None:
-            both = both.where(near(F.col("__fp_a"), F.col("__fp_b")))
-        left = durable(both.select("a", "b", "__spread_a", "__spread_b").mapInArrow(_judged(may_be_alike, alike), "a long, b long"))
-        chosen = durable(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "__of"), "node"))
+        both = beside(pairs, known, "__spread").select("a", "b", "__spread_a", "__spread_b")
+        left = scratch.keep(both.mapInArrow(_judged(may_be_alike, alike), "a long, b long"))
+        chosen = scratch.keep(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "__of"), "node"))
         texts = bodies.join(chosen, F.col("__row") == F.col("__of")).select("node", "__body")
-        hashes = durable(map_texts(texts, "__body", ["node"], "__hashes binary", make).dropDuplicates(["node"]))
+        hashes = scratch.keep(map_texts(texts, "__body", ["node"], "__hashes binary", make).dropDuplicates(["node"]))
         return beside(left, hashes, "__hashes").select("a", "b", "__hashes_a", "__hashes_b").mapInArrow(_judged(alike_enough, alike), "a long, b long")
 
-    def candidates(label: DataFrame | None, by: list, furthest: int | None) -> DataFrame:
+    def labelled(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return members.withColumn("label", F.col("node"))
+        return members.join(components(found, scratch).toDF("node", "root"), "node", "left").select(*order, F.coalesce("root", "node").alias("label"))
+
+    def candidates(lists: DataFrame, by: list, furthest: int | None) -> DataFrame:
         """Pairs of different labels; by orders the lists."""
-        rows = members.withColumn("label", F.col("node")) if label is None else members.join(label, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        lists = rows.select(*order, "label").repartition("key").sortWithinPartitions("key", *by)
-        return lists.mapInArrow(_pairs(alike, furthest), "a long, b long").distinct()
-
-    tried = durable(candidates(None, order[1:], NEIGHBOURS))
-    found = durable(similar(tried).union(same))
-    more = durable(candidates(components(found).toDF("node", "root"), [F.xxhash64("node", "key"), "node"], 4 * NEIGHBOURS).join(tried, ["a", "b"], "left_anti"))
-    found = durable(found.union(similar(more)))
-    rest = candidates(components(found).toDF("node", "root"), order[1:], None)
-    rest = durable(rest.join(tried.union(more), ["a", "b"], "left_anti"))
-    return durable(found.union(similar(rest)))
+        sorted_ = lists.select(*order, "label").repartition("key").sortWithinPartitions("key", *by)
+        return sorted_.mapInArrow(_pairs(alike, furthest), "a long, b long").distinct()
+
+    def near_fingerprints() -> DataFrame:
+        """Pairs of nodes: one for each link of the index, and the nodes of one fingerprint with one of them."""
+        at = scratch.keep(known.groupBy("__fp").agg(F.min("node").alias("node")))
+        near = simhash.links(at.select("__fp"), max_distance, scratch=scratch)
+        for n in "ab":
+            near = near.join(at.select(F.col("__fp").alias(n), F.col("node").alias(f"node_{n}")), n)
+        same = known.join(at.select("__fp", F.col("node").alias("other")), "__fp").where("node <> other")
+        pairs = near.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")).union(same.select("node", "other"))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    tried = scratch.keep(near_fingerprints().union(candidates(labelled(None), order[1:], NEIGHBOURS)).distinct())
+    found = scratch.keep(similar(tried))
+    more = scratch.keep(candidates(labelled(found), [F.xxhash64("node", "key"), "node"], 4 * NEIGHBOURS).join(tried, ["a", "b"], "left_anti"))
+    found = scratch.keep(found.union(similar(more)))
+    rest = candidates(_dealt(scratch.keep(labelled(found))), order[1:], None)
+    rest = scratch.keep(rest.join(tried.union(more), ["a", "b"], "left_anti"))
+    return scratch.keep(found.union(similar(rest)))

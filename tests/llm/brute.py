@@ -42,45 +42,46 @@ def classes(fingerprints, distance):
     return [find(i) for i in range(len(fingerprints))]
 
 
-def near_classes(texts, size, alike, distance, reach):
-    """The class number of each text: all pairs by bits, shared bytes and exact similarity."""
-    prints = [fingerprint(t, size) for t in texts]
+def near_classes(texts, size, alike):
+    """The class number of each text: all pairs by exact similarity of their distinct shingles."""
 
     def shingles(text):
         found = [w.lower() for w in words(text)]
         return {b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))} if found else set()
 
     sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for i, a in enumerate(prints):
-        for j in range(i):
-            apart = a ^ prints[j]
-            shared = sum(not apart >> 8 * p & 255 for p in range(8))
-            near = apart.bit_count() <= reach and shared >= 8 - distance
-            if apart == 0 or near and len(sets[i] & sets[j]) >= alike * len(sets[i] | sets[j]):
-                x, y = find(i), find(j)
-                label[max(x, y)] = min(x, y)
+    empty = [i for i, s in enumerate(sets) if not s]
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders[x] if j < i)
+        near = [j for j, n in shared.items() if n >= alike * (len(s) + len(sets[j]) - n)]
+        for j in near if s else empty[:1]:
+            x, y = find(i), find(j)
+            label[max(x, y)] = min(x, y)
     return [find(i) for i in range(len(texts))]
 
 
 def cleaned(docs, least):
     """docs: (id, text, site) with ids of their own -> {id: text} without boilerplate lines."""
     bare = lambda line: line.strip(" \t\r")
-    sites, contexts, first = defaultdict(set), defaultdict(set), {}
+    sites, first = defaultdict(set), {}
     for i, text, site in sorted(docs, key=lambda d: d[0]):
         lines = (text or "").split("\n")
         for n, line in enumerate(lines):
             if bare(line):
                 first.setdefault(bare(line), (i, n))
-                contexts[bare(line)].add((lines[n - 1] if n else "", lines[n + 1] if n + 1 < len(lines) else None))
                 if site is not None:
                     sites[bare(line)].add(site)
-    stays = lambda line, at: min(len(sites[bare(line)]), len(contexts[bare(line)])) < least or first[bare(line)] == at
+    stays = lambda line, at: len(sites[bare(line)]) < least or first[bare(line)] == at
     return {i: "\n".join(line for n, line in enumerate((text or "").split("\n")) if stays(line, (i, n))) for i, text, site in docs}
 
 

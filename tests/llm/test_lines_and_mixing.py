@@ -43,10 +43,12 @@ def test_all_lines_of_a_text_may_go(spark):
     assert got == cleaned([(i, t, f"s{i}") for i, t in enumerate(texts)], 3) == {0: "a\nb\n", 1: "", 2: "", 3: "c\nd"}
 
 
-def test_copies_of_one_document_stay_whole(spark):
-    rows = [(i, "one\ntwo\nthree", f"s{i}") for i in range(12)] + [(50 + i, f"own {i}\ntwo\nthree", f"s{i}") for i in range(3)]
+def test_a_block_on_enough_sites_goes_whole(spark):
+    block = "licence one\nlicence two\nlicence three\nlicence four"
+    rows = [(i, f"text {i}\n{block}\nend {i}", f"s{i}") for i in range(10)] + [(50 + i, f"own {i}\nfew\nof them", f"s{i}") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert {r.doc_id: r.text for r in line_dedup.cleaned(docs, 5).collect()} == {i: t for i, t, _ in rows}
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(docs, 5).collect()}
+    assert got == {i: t if i in (0, 50, 51, 52, 53) else f"text {i}\nend {i}" for i, t, _ in rows}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

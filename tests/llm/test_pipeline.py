@@ -20,7 +20,7 @@ def test_run_equals_plain_steps(spark):
     good = [i for i, r in rows.items() if model.scores([r.text.encode()])[0] >= 0.7]
     text = cleaned([(i, rows[i].text, rows[i].source) for i in good], MIN_SITES)
     ids = sorted(good)
-    of = near_classes([text[i] for i in ids], 5, 0.8, 5, 12)
+    of = near_classes([text[i] for i in ids], 5, 0.8)
     single = [i for n, i in enumerate(ids) if of[n] == n]
     chance = draws([(i, text[i], rows[i].source, rows[i].lang) for i in single], [mixing.POWERS[d] for d in mixing.DIMENSIONS], 42)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}

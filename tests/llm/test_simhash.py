@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 from brute import classes, fingerprint, near_classes
@@ -62,7 +64,7 @@ def test_documents(spark, data):
 
 
 @pytest.mark.parametrize("distance", [0, 1, 4, 5])
-@pytest.mark.parametrize("longest", [2, 4096])
+@pytest.mark.parametrize("longest", [20, 4096])
 def test_links_connect_all_near_pairs(spark, distance, longest):
     values = near(np.random.default_rng(distance), 60)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
@@ -94,7 +96,7 @@ def test_components_of_paths_stars_and_cycles(spark):
 def test_one_row_of_each_group_stays(odd, rows, none):
     kept = simhash.deduplicated(odd, shingle_words=4)
     assert kept.columns == odd.columns
-    of = near_classes([t for _, t, *_ in rows], 4, 0.8, 5, 12)
+    of = near_classes([t for _, t, *_ in rows], 4, 0.8)
     got = kept.collect()
     assert len(got) == len(set(of))
     best = {}
@@ -117,16 +119,52 @@ def test_similar_texts_are_one_group(spark):
                 copy[int(rng.integers(len(copy)))] = word()
             texts.append(" ".join(copy))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    of = near_classes(texts, 5, 0.8, 5, 12)
+    of = near_classes(texts, 5, 0.8)
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(set(of))
 
 
-def test_similarity_of_sketches():
-    rng = np.random.default_rng(4)
-    a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
-    for shared in (0, 1500, 2700, 3000):
-        b = np.concatenate((a[:shared], rng.integers(0, 2**63, 3000 - shared, dtype=np.uint64)))
-        assert abs(simhash.similarity(simhash.sketch(a), simhash.sketch(b)) - shared / (6000 - shared)) < 0.1
-    few = a[:100], np.concatenate((a[:90], a[500:520]))
-    assert simhash.similarity(*map(simhash.sketch, few)) == 90 / 120
-    assert simhash.similarity(b"", b"") == 1 and simhash.similarity(b"", simhash.sketch(a)) == 0
+def test_any_near_pair_meets_under_some_positions():
+    for distance in range(6):
+        shared = 8 - distance
+        assert all(len(c) == max(1, min(4, shared - 1)) for c in simhash.positions(shared))
+        assert all(any(set(c) <= set(x) for c in simhash.positions(shared)) for x in combinations(range(8), shared))
+
+
+def test_the_tally_rejects_pairs_of_a_list():
+    """Values that share the three bytes of a key and lie within 4 bits need a fourth equal byte."""
+    rng = np.random.default_rng(8)
+    values = np.unique((rng.integers(0, 2**40, 3000, dtype=np.uint64) << np.uint64(24)) | np.uint64(0xABCDEF)).view(np.int64)
+    one = values[0]
+    shared = ((values ^ one).view(np.uint64).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    assert (shared < 4).mean() > 0.9 and not simhash._near(values, one, 4)[shared < 4].any()
+    near = one ^ np.int64(0b1111 << 32)
+    assert simhash._near(np.array([near, one ^ np.int64(0x0101010101000000)]), one, 4).tolist() == [True, False]
+
+
+def test_a_hot_list_is_dealt_until_it_fits(spark):
+    """100,000 fingerprints that share four bytes; some near others."""
+    rng = np.random.default_rng(9)
+    values = np.unique((rng.integers(0, 2**31, 100_000, dtype=np.uint64) << np.uint64(32)) | np.uint64(0x12345678))
+    values = np.unique(np.concatenate((values, values[:500] ^ np.uint64(7 << 40))))
+    import pandas as pd
+
+    nodes = spark.createDataFrame(pd.DataFrame({"__fp": values.view(np.int64)})).repartition(4)
+    links = [(a % 2**64, b % 2**64) for a, b in simhash.links(nodes, 3).collect()]
+    assert all(0 < (a ^ b).bit_count() <= 3 for a, b in links)
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    assert all(find(int(v)) == find(int(v) ^ (7 << 40)) for v in values[:50] if int(v) ^ (7 << 40) in set(values.tolist()))
+
+
+def test_equal_fingerprints_of_different_texts_are_not_duplicates(spark):
+    texts = [" ".join(["spam"] * 300 + [f"{n}w{i}" for i in range(120)]) for n in range(2)]
+    assert simhash.fingerprint(texts[0], 5) == simhash.fingerprint(texts[1], 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [0, 1]

@@ -23,9 +23,9 @@ def copies(seed, sizes):
 def test_all_similar_pairs_are_linked_however_many_bits_differ(spark):
     texts = copies(5, [60 + 15 * (n % 8) for n in range(40)])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    of, few = (near_classes(texts, 5, 0.8, *rule) for rule in ((8, 64), (5, 12)))
-    assert len(set(of)) < len(set(few))
-    assert sorted(r.doc_id for r in simhash.deduplicated(docs, reach=None).collect()) == sorted(set(of))
+    of = near_classes(texts, 5, 0.8)
+    assert len(set(of)) < len(texts)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(set(of))
 
 
 def test_candidates_of_lists_across_batches():
@@ -51,9 +51,9 @@ def test_long_texts_near_the_threshold_are_judged_exactly(spark):
             copy[int(at) * 5] = f"{n}x{at}"
         texts += [" ".join(base), " ".join(copy)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    of = near_classes(texts, 5, 0.8, 8, 64)
+    of = near_classes(texts, 5, 0.8)
     assert 24 < len(set(of)) < 48
-    assert sorted(r.doc_id for r in simhash.deduplicated(docs, reach=None).collect()) == sorted(set(of))
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(set(of))
 
 
 def test_spreads_let_all_similar_pairs_pass():
@@ -66,3 +66,29 @@ def test_spreads_let_all_similar_pairs_pass():
                 assert similar.may_be_alike(similar.spread(own), similar.spread(other), 0.8)
     few = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(2)]
     assert not similar.may_be_alike(*map(similar.spread, few), 0.8)
+
+
+def test_long_lists_are_dealt_in_parts_and_lose_no_link(spark, monkeypatch):
+    """One list of many texts: three groups of near copies that share a rare shingle."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in range(3):
+        base = [f"{n}w{i}" for i in range(30)] + ["the", "one", "shared", "rare", "shingle"]
+        for _ in range(25):
+            copy = list(base)
+            copy[int(rng.integers(0, 30))] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    of = near_classes(texts, 5, 0.8)
+    for held, long, near in ((9, 4, 1), (1 << 17, 4, 1), (1 << 17, 512, 16)):
+        for name, value in (("HELD", held), ("LONG", long), ("NEIGHBOURS", near)):
+            monkeypatch.setattr(similar, name, value)
+        assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(set(of))
+
+
+def test_documents_of_the_tables_lose_no_near_copy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    of = near_classes([t for _, t in rows], 5, 0.8)
+    assert 900 < len(set(of)) < 1000 and max(len(t.split()) for _, t in rows) > 500
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(rows[c][0] for c in set(of))
