@@ -5,8 +5,9 @@ neighbouring labels are tied by transition weights. The forward-backward margina
 lines' lengths, add up to a document's share of good text, which a logistic curve turns into a score.
 
 Training takes a bounded sample of labelled documents. A document's label is first given to all its lines; lines
-of bad documents that look good by themselves then count as good, and the chains are fitted to these labels. Lines longer than LONGEST bytes are measured as
-several lines. All measures are computed from the UTF-8 bytes of a whole Arrow batch at once.
+of bad documents that look good by themselves then count as good, and the chains are fitted to these labels.
+Measures are computed from the UTF-8 bytes of many lines at once; a long line is measured in stretches whose counts add up, so memory beside the
+text is bounded by BLOCK and the number of lines.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
-from .sampling import held_out, labelled
+from .sampling import CHARS, held_out, labelled
 
 #: Labelled documents that are fitted on, at most.
 MOST = 6000
-LONGEST = 1 << 20
-#: Bytes of text measured at a time, about.
+#: Bytes of text measured at a time, at most: counts of a stretch fit fields of 21 bits.
 BLOCK = 1 << 20
 
 #: Classes of bytes whose share of a line is a measure.
@@ -45,7 +45,7 @@ WIDTH = len(CLASSES) + 6
 
 
 def _tables() -> list[np.ndarray]:
-    """Byte -> counts of three classes in fields of 21 bits: a sum over a line of LONGEST bytes does not overflow."""
+    """Byte -> counts of three classes in fields of 21 bits: a sum over BLOCK bytes does not overflow."""
     found = []
     for at in range(0, len(CLASSES), 3):
         t = np.zeros(256, np.int64)
@@ -59,68 +59,147 @@ _TABLES = _tables()
 _SPACE = np.zeros(256, bool)
 _SPACE[np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)] = True
 _MIX = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Totals of a line: bytes of each class, words equal to the one before and to the one before that, bytes of words, words, and short words.
+SAME, AGAIN, INSIDE, WORDS, SHORT = range(len(CLASSES), len(CLASSES) + 5)
+
+Carry = tuple[int, int, int]
+
+
+def _words(part: np.ndarray, carry: Carry = (0, 0, 0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, Carry]:
+    """Starts, lengths and hashes of the words that end in a stretch, and the word that is open at its end.
+
+    A word's hash comes from the sum of its mixed bytes and the sum of them times their places; an open word is
+    carried as these two sums and its length so far.
+    """
+    space = _SPACE[part]
+    before = np.concatenate(([carry[2] == 0], space[:-1]))
+    a, b = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+    if carry[2]:
+        a = np.concatenate(([0], a))
+    if len(b) < len(a):
+        b = np.concatenate((b, [len(part)]))
+    mixed = _MIX[part]
+    plain = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+    placed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * np.arange(len(part), dtype=np.uint64), dtype=np.uint64)))
+    first = plain[b] - plain[a]
+    second = placed[b] - placed[a] - first * a.astype(np.uint64)
+    lengths = b - a
+    if carry[2]:
+        second[:1] += np.uint64(carry[1]) + np.uint64(carry[2]) * first[:1]
+        first[:1] += np.uint64(carry[0])
+        lengths[0] += carry[2]
+    if len(part) and len(a) and not space[-1]:
+        rest = (int(first[-1]), int(second[-1]), int(lengths[-1]))
+        a, lengths, first, second = a[:-1], lengths[:-1], first[:-1], second[:-1]
+    else:
+        rest = (0, 0, 0)
+    return a, lengths, second + first * _STEP, rest
+
+
+def _classes(part: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
+    """Adds the counts of each class from each start on to the rows of out."""
+    for t, table in enumerate(_TABLES):
+        packed = np.add.reduceat(table[part], starts)
+        for field in range(3):
+            out[:, 3 * t + field] += (packed >> (21 * field)) & ((1 << 21) - 1)
+
+
+def _short_lines(part: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Totals of whole lines that lie in one stretch, each with its line feed."""
+    n = len(starts)
+    out = np.zeros((n, len(CLASSES) + 5))
+    _classes(part, starts, out)
+    a, lengths, hashes, _ = _words(part)
+    line = np.searchsorted(starts, a, "right") - 1
+    same = (hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])
+    again = (hashes[2:] == hashes[:-2]) & (line[2:] == line[:-2])
+    for column, of in ((SAME, line[1:][same]), (AGAIN, line[2:][again]), (WORDS, line), (SHORT, line[lengths <= 1])):
+        out[:, column] = np.bincount(of, minlength=n)
+    out[:, INSIDE] = np.bincount(line, weights=lengths, minlength=n)
+    return out
+
+
+def _long_line(data: np.ndarray) -> np.ndarray:
+    """Totals of one line with its line feed, stretch by stretch."""
+    out = np.zeros((1, len(CLASSES) + 5))
+    carry, last = (0, 0, 0), np.zeros(0, np.uint64)
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        _classes(part, np.zeros(1, np.int64), out)
+        _, lengths, hashes, carry = _words(part, carry)
+        known, all_ = len(last), np.concatenate((last, hashes))
+        out[0, SAME] += (all_[max(known, 1) :] == all_[max(known, 1) - 1 : -1]).sum() if len(all_) > 1 else 0
+        out[0, AGAIN] += (all_[max(known, 2) :] == all_[max(known, 2) - 2 : -2]).sum() if len(all_) > 2 else 0
+        out[0, [INSIDE, WORDS, SHORT]] += lengths.sum(), len(lengths), (lengths <= 1).sum()
+        last = all_[-2:]
+    return out
+
+
+def _measures(totals: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    k = len(CLASSES)
+    out = np.empty((len(totals), WIDTH))
+    out[:, :k] = totals[:, :k] / np.maximum(sizes, 1)[:, None]
+    words = totals[:, WORDS]
+    some = np.maximum(words, 1)
+    out[:, k], out[:, k + 1] = totals[:, SAME] / some, totals[:, AGAIN] / some
+    out[:, k + 2] = np.minimum(totals[:, INSIDE] / some, 50) / 10
+    out[:, k + 3] = np.log1p(words) / 5
+    out[:, k + 4] = words == 0
+    out[:, k + 5] = totals[:, SHORT] / some
+    return out
 
 
 class Lines:
-    """The lines of some texts: measures (lines x WIDTH), lengths in bytes, and the first line of each text."""
+    """The lines of some texts: lengths in bytes, the first line of each text, and what parts() measures."""
 
     def __init__(self, texts: Sequence[bytes]):
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         heads = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if len(texts) else np.zeros(0, np.int64)
-        breaks = np.flatnonzero(data == 10)
-        starts = np.concatenate(([0], breaks[:-1] + 1))
-        ends = breaks
-        if len(ends) and (ends - starts).max() > LONGEST:
-            more = np.concatenate([np.arange(a, max(b, a + 1), LONGEST) for a, b in zip(starts, ends)])
-            ends = np.minimum(more + LONGEST, ends[np.searchsorted(starts, more, "right") - 1])
-            starts = more
-        self.first = np.searchsorted(starts, heads)
-        self.lengths = (ends - starts).astype(np.float64)
-        self.measures = self._measure(data, starts, ends)
-
-    def _measure(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(starts)
-        out = np.zeros((n, WIDTH))
-        size = np.maximum(ends - starts, 1)
-        for t, table in enumerate(_TABLES):
-            total = np.concatenate(([0], np.cumsum(table[data])))
-            packed = total[ends] - total[starts]
-            for field in range(3):
-                out[:, 3 * t + field] = ((packed >> (21 * field)) & ((1 << 21) - 1)) / size
-        # words: where they start and end, a hash of each, and the line that each is in
-        space = _SPACE[data]
-        edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-        a, b = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        mixed = _MIX[data]
-        place = np.arange(len(data), dtype=np.uint64)
-        plain = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
-        placed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * place, dtype=np.uint64)))
-        sums = plain[b] - plain[a]
-        hashes = (placed[b] - placed[a]) - sums * a.astype(np.uint64) + sums * np.uint64(0x9E3779B97F4A7C15)
-        line = np.searchsorted(starts, a, "right") - 1
-        words = np.bincount(line, minlength=n).astype(np.float64)
-        some = np.maximum(words, 1)
-        k = len(CLASSES)
-        same = (hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])
-        out[:, k] = np.bincount(line[1:][same], minlength=n) / some
-        again = (hashes[2:] == hashes[:-2]) & (line[2:] == line[:-2])
-        out[:, k + 1] = np.bincount(line[2:][again], minlength=n) / some
-        out[:, k + 2] = np.minimum(np.bincount(line, weights=b - a, minlength=n) / some, 50) / 10
-        out[:, k + 3] = np.log1p(words) / 5
-        out[:, k + 4] = words == 0
-        short = (b - a) <= 1
-        out[:, k + 5] = np.bincount(line[short], minlength=n) / some
-        return out
+        self.ends = np.flatnonzero(self.data == 10)
+        self.starts = np.concatenate(([0], self.ends[:-1] + 1))
+        self.first = np.searchsorted(self.starts, heads)
+        self.lengths = (self.ends - self.starts).astype(np.float64)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The number of a line, and the measures of it and some following lines."""
+        at = 0
+        while at < len(self.starts):
+            begin = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, begin + BLOCK)))
+            if self.ends[to - 1] + 1 - begin > BLOCK:
+                totals = _long_line(self.data[begin : self.ends[at] + 1])
+            else:
+                totals = _short_lines(self.data[begin : self.ends[to - 1] + 1], self.starts[at:to] - begin)
+            yield at, _measures(totals, self.lengths[at:to])
+            at = to
 
     def evidence(self) -> np.ndarray:
-        """Measures of the line, of the one before and of the one after (0 at a text's ends), and a constant."""
-        before, after = np.zeros_like(self.measures), np.zeros_like(self.measures)
-        before[1:], after[:-1] = self.measures[:-1], self.measures[1:]
+        """Measures of each line, of the one before and of the one after (0 at a text's ends), and a constant."""
+        out = np.zeros((len(self.starts), 3 * WIDTH + 1), np.float32)
+        for at, found in self.parts():
+            out[at : at + len(found), :WIDTH] = found
+        out[1:, WIDTH : 2 * WIDTH], out[:-1, 2 * WIDTH : 3 * WIDTH] = out[:-1, :WIDTH], out[1:, :WIDTH]
+        out[self.first, WIDTH : 2 * WIDTH] = 0
+        out[self.last(), 2 * WIDTH : 3 * WIDTH] = 0
+        out[:, -1] = 1
+        return out
+
+    def last(self) -> np.ndarray:
+        return np.concatenate((self.first[1:], [len(self.starts)])) - 1
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        """evidence() times the weights, without the evidence of all lines at once."""
+        own, before, after = np.zeros((3, len(self.starts)))
+        for at, found in self.parts():
+            here = slice(at, at + len(found))
+            own[here], before[here], after[here] = (found @ weights[:-1].reshape(3, WIDTH).T).T
+        own += weights[-1]
+        before, after = np.concatenate(([0], before[:-1])), np.concatenate((after[1:], [0]))
         before[self.first] = 0
-        last = np.concatenate((self.first[1:], [len(self.measures)])) - 1
-        after[last] = 0
-        return np.concatenate((self.measures, before, after, np.ones((len(self.measures), 1))), axis=1)
+        after[self.last()] = 0
+        return own + before + after
 
 
 class Chains:
@@ -180,7 +259,7 @@ class Model:
         self.weights, self.ties, self.curve = weights, ties, curve
 
     def shares(self, lines: Lines) -> np.ndarray:
-        return _shares(lines.evidence() @ self.weights, self.ties, lines.first, lines.lengths)
+        return _shares(lines.logits(self.weights), self.ties, lines.first, lines.lengths)
 
     def scores(self, texts: Sequence[bytes]) -> np.ndarray:
         slope, middle = self.curve
@@ -200,11 +279,11 @@ def _blocks(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
         at = to
 
 
-def _fit_chain(evidence: np.ndarray, first: np.ndarray, good: np.ndarray, weight: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+def _fit_chain(evidence: np.ndarray, first: np.ndarray, good: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ties that maximise the likelihood of the lines' labels good, by gradient steps with momentum (Adam)."""
     scale = np.maximum(evidence.std(axis=0), 0.01)
     scale[-1] = 1.0
-    evidence = evidence / scale
+    evidence = evidence / scale.astype(np.float32)
     chains = Chains(first, len(evidence))
     inner = np.ones(len(evidence), bool)
     inner[first] = False
@@ -214,8 +293,8 @@ def _fit_chain(evidence: np.ndarray, first: np.ndarray, good: np.ndarray, weight
     size = evidence.shape[1]
     state, m, v = np.zeros(size + 4), np.zeros(size + 4), np.zeros(size + 4)
     for step in range(1, rounds + 1):
-        p, pairs, _ = chains.marginals(evidence @ state[:size], state[size:].reshape(2, 2))
-        gradient = np.concatenate((evidence.T @ ((good - p) * weight), (seen - pairs).ravel())) / len(evidence) - decay * state
+        p, pairs, _ = chains.marginals((evidence @ state[:size].astype(np.float32)).astype(float), state[size:].reshape(2, 2))
+        gradient = np.concatenate((evidence.T @ (good - p).astype(np.float32), (seen - pairs).ravel())) / len(evidence) - decay * state
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         state = state + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return state[:size] / scale, state[size:].reshape(2, 2)
@@ -249,34 +328,32 @@ def fit(texts: Sequence[bytes], labels: np.ndarray, threshold: float = 0.7, roun
     evidence, lengths, sizes = np.concatenate(evidence), np.concatenate(lengths), np.concatenate(sizes)
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     of = np.repeat(labels.astype(float), sizes)
-    weight = np.ones(len(evidence))
     # lines of bad documents that look good by themselves are good, if the document keeps a bad line
-    alone = evidence.copy()
-    alone[:, WIDTH : 3 * WIDTH] = 0
-    weights, _ = _fit_chain(alone, np.arange(len(alone)), of, weight, rounds, decay)
-    looks = 1 / (1 + np.exp(-(alone @ weights)))
+    own = evidence[:, [*range(WIDTH), 3 * WIDTH]]
+    weights, _ = _fit_chain(own, np.arange(len(own)), of, rounds, decay)
+    looks = 1 / (1 + np.exp(-(own @ weights)))
     worst = np.repeat(np.minimum.reduceat(looks, first), sizes)
     good = np.where((of == 0) & (looks > 0.5) & (looks > worst), 1.0, of)
-    weights, ties = _fit_chain(evidence, first, good, weight, rounds, decay)
+    weights, ties = _fit_chain(evidence, first, good, rounds, decay)
     return Model(weights, ties, _fit_curve(_shares(evidence @ weights, ties, first, lengths), labels, threshold))
 
 
-def trained(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = MOST, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most `most` labelled documents whose id's CRC-32 modulo parts is not part."""
-    rows = labelled(docs, labels, "quality", parts, part, most, id_col, text_col).toPandas()
+def trained(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = MOST, most_chars: int = CHARS, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from labelled documents whose id's CRC-32 modulo parts is not part: at most `most`, with at most most_chars characters in all."""
+    rows = labelled(docs, labels, "quality", parts, part, most, most_chars, id_col, text_col).toPandas()
     rows = rows.assign(raw=[(t or "").encode() for t in rows["__text"]]).sort_values("raw", kind="stable")
     return fit(rows["raw"].tolist(), rows["__label"].to_numpy(), threshold)
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = MOST, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = MOST, most_chars: int = CHARS, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted for every row of docs.
 
     Labels (id, quality) teach only where the id's CRC-32 modulo parts is not part; held_out marks the others.
     predicted is 1 from the threshold on. Only the text enters a score. NULL counts as an empty text: one
-    empty line, scored like any other. Rows with equal or NULL ids each keep their own row; a NULL id is not
+    empty line, scored like any other; texts and lines may be of any length. Rows with equal or NULL ids each keep their own row; a NULL id is not
     held out.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, threshold, most, parts, part, id_col, text_col))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, threshold, most, most_chars, parts, part, id_col, text_col))
 
     def make():
         return lambda texts: [model.value.scores([(t or "").encode() for t in texts])]

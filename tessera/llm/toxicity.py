@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
-from .sampling import held_out, labelled
+from .sampling import CHARS, held_out, labelled
 
 #: Labelled documents that are fitted on, at most, and terms of the lexicon, at most.
 MOST, TERMS = 12_000, 600
@@ -241,7 +241,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST, parts: int = 5
 
     The driver gets the distinct words of those documents; equal texts count once.
     """
-    sample = labelled(docs, labels, "toxic", parts, part, most, id_col, text_col)
+    sample = labelled(docs, labels, "toxic", parts, part, most, CHARS, id_col, text_col)
 
     def make():
         return lambda texts: [[" ".join(sorted(words(t))) for t in texts]]

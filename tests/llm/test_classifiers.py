@@ -1,9 +1,12 @@
+import re
+import tracemalloc
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
 
-from tessera.llm import quality, toxicity
+from tessera.llm import quality, sampling, toxicity
 from tessera.llm.common import table
 
 
@@ -80,16 +83,63 @@ def test_marginals_equal_enumeration():
     assert np.allclose(good, want) and np.allclose(pairs, moves) and np.isclose(log_z, total)
 
 
-def test_line_measures(monkeypatch):
-    texts = [b"Ab ab ab | 12!\n\nx", b"", b"no no no no yes"]
+def plain_measures(line):
+    words = [w for w in re.split(rb"[ \t\n\r\x0b\x0c]+", line) if w]
+    n = max(len(words), 1)
+    shares = [sum(line.count(bytes([c])) for c in chars) / max(len(line), 1) for chars in quality.CLASSES]
+    same, again = (sum(a == b for a, b in zip(words, words[k:])) / n for k in (1, 2))
+    return [*shares, same, again, min(sum(map(len, words)) / n, 50) / 10, np.log1p(len(words)) / 5, not words, sum(len(w) <= 1 for w in words) / n]
+
+
+@pytest.mark.parametrize("block", [5, 64, 1 << 20])
+def test_line_measures_equal_plain_ones(monkeypatch, block):
+    monkeypatch.setattr(quality, "BLOCK", block)
+    texts = [b"Ab ab ab | 12!\n\nx", b"", b"no no no no yes", b"long" * 40 + b" b b\t\tlonglong " + b"long" * 40, b"\n\n", b"  a b a b a \r\nend ", "é ü | é".encode()]
     lines = quality.Lines(texts)
-    assert lines.first.tolist() == [0, 3, 4] and lines.lengths.tolist() == [14, 0, 1, 0, 15]
-    assert np.isclose(lines.measures[0, 0], 1 / 14) and np.isclose(lines.measures[0, 1], 1 / 14)
-    assert np.isclose(lines.measures[4, len(quality.CLASSES)], 3 / 5) and np.isclose(lines.measures[0, len(quality.CLASSES)], 1 / 5)
+    assert lines.first.tolist() == np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[:-1]]).tolist()
+    want = np.array([plain_measures(line) for t in texts for line in t.split(b"\n")], float)
+    got = np.concatenate([m for _, m in lines.parts()])
+    assert np.allclose(got, want)
+    weights = np.random.default_rng(0).normal(size=3 * quality.WIDTH + 1)
+    assert np.allclose(lines.logits(weights), lines.evidence() @ weights, atol=1e-4)
     assert quality.Lines([]).first.tolist() == []
-    monkeypatch.setattr(quality, "LONGEST", 4)
-    cut = quality.Lines([b"aaaaaaaaab\nz", b"", b"yy"])
-    assert cut.lengths.tolist() == [4, 4, 2, 1, 0, 2] and cut.first.tolist() == [0, 4, 5]
+
+
+def test_scores_equal_plain_ones(labelled):
+    """Evidence, marginals by enumeration, length-weighted share and curve of short texts, written out."""
+    model = quality.trained(*labelled)
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    for text in (b"", b"one line here", b"a\n$$ $$ $$\nc d", b"$$$ $$$ $$$\n$$$ $$$\n\nplain words follow"):
+        measures = [np.array(plain_measures(line), float) for line in text.split(b"\n")]
+        none, n = np.zeros(quality.WIDTH), len(measures)
+        logits = [np.concatenate((m, measures[i - 1] if i else none, measures[i + 1] if i + 1 < n else none, [1])) @ model.weights for i, m in enumerate(measures)]
+        good, total = np.zeros(n), 0.0
+        for y in product((0, 1), repeat=n):
+            w = np.exp(sum(logits[i] for i in range(n) if y[i]) + sum(model.ties[a, b] for a, b in zip(y, y[1:])))
+            good, total = good + w * np.array(y), total + w
+        length = np.array([len(line) + 1 for line in text.split(b"\n")])
+        share = (good / total * length).sum() / length.sum()
+        assert np.isclose(model.scores([text])[0], logistic(model.curve[0] * (share - model.curve[1])), atol=1e-5)
+
+
+def test_very_long_texts_and_lines(labelled):
+    """A line of 9 MB, a word of 5 MB and 100,000 lines: memory beside the text stays bounded, and stretches change nothing."""
+    model = quality.trained(*labelled)
+    texts = [b"some words that go on and on " * 300_000, b"x" * 5_000_000 + b" y", b"word by word\n" * 100_000]
+    tracemalloc.start()
+    scores = [model.scores([t])[0] for t in texts]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert all(0 <= s <= 1 for s in scores)
+    assert np.isclose(scores[0], model.scores([texts[0][: len(texts[0]) // 300]])[0], atol=0.2)
+
+
+def test_training_samples_are_bounded_by_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * (5 if i % 2 else 1000)) for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as quality")
+    sample = lambda most, chars: [len(r[0]) for r in sampling.labelled(docs, labels, "quality", 4, 2, most, chars).collect()]
+    every = sample(100, 10**6)
+    assert 20 < len(every) < 40 and sum(sample(100, 3100)) <= 3100 and sample(100, 3100).count(1000) == 3 and len(sample(7, 10**6)) == 7
 
 
 def test_scores_do_not_depend_on_blocks(monkeypatch, labelled):
