@@ -171,9 +171,78 @@ def test_label_model_finds_good_voters():
     assert accuracy[0] > accuracy[3] and weight[3] < 0.4 < weight[0]
 
 
-def test_toxic_documents_of_the_tables(spark):
-    data = "/root/testdata/sf0.1"
-    found = toxicity.scored(table(spark, data, "documents"), table(spark, data, "labels")).join(table(spark, data, "labels"), "doc_id").where("held_out").toPandas()
-    assert (found.predicted == found.toxic).mean() > 0.97
-    found = quality.scored(table(spark, data, "documents"), table(spark, data, "labels")).join(table(spark, data, "labels"), "doc_id").where("held_out").toPandas()
-    assert (found.predicted == found.quality).mean() > 0.99
+def test_label_model_equals_a_plain_one():
+    """Expectation maximisation written out voter by voter, with the correlations of all pairs within the classes."""
+    rng = np.random.default_rng(3)
+    votes = rng.choice([-1.0, 0.0, 1.0], (40, 5))
+    votes[:, 4] = votes[:, 3]
+    prior, rows = 0.3, votes.tolist()
+
+    def weights(groups):
+        cov = [[0.0] * 5 for _ in range(5)]
+        for g in groups:
+            mean = [sum(w * r[v] for w, r in zip(g, rows)) / sum(g) for v in range(5)]
+            for w, r in zip(g, rows):
+                for a, b in product(range(5), repeat=2):
+                    cov[a][b] += w * (r[a] - mean[a]) * (r[b] - mean[b])
+        r = [[1.0 if a == b else abs(cov[a][b]) / (cov[a][a] * cov[b][b]) ** 0.5 * (1 - toxicity.SHRUNK) for b in range(5)] for a in range(5)]
+        return np.clip(np.linalg.solve(np.array(r) + 1e-6 * np.eye(5), np.ones(5)), 0.2, 1)
+
+    w = weights([[1.0] * 40])
+    q = [0.9 if sum(a * b for a, b in zip(w, r)) > 0 else 0.05 for r in rows]
+    for step in range(30):
+        rate = {}
+        for c, v, said in product((0, 1), range(5), (-1, 1)):
+            mass = [x if c else 1 - x for x in q]
+            rate[c, v, said] = (sum(m for m, r in zip(mass, rows) if r[v] == said) + 0.5 * prior) / (sum(mass) + 1)
+        if step in (5, 15):
+            w = weights([[1 - x for x in q], q])
+        logits = [np.log(prior / (1 - prior)) + sum(w[v] * np.log(rate[1, v, r[v]] / rate[0, v, r[v]]) for v in range(5) if r[v]) for r in rows]
+        q = [1 / (1 + np.exp(-x)) for x in logits]
+    got, _, weight = toxicity.label_model(votes, prior)
+    assert np.allclose(got, q, atol=1e-6) and np.allclose(weight, w, atol=1e-6) and weight[3] < 0.6
+
+
+def test_terms_and_scores_equal_plain_ones(labelled):
+    docs, labels = labelled
+    model = toxicity.trained(docs, labels)
+    texts = [r.text for r in docs.collect()] + ["", "N1TWIT n1twit you", "DUNCE!!! grumbla grumblax looooser"]
+
+    def score(text):
+        found = set(re.findall(r"[^\W\d_]+", text.lower()))
+        masked = {m.lower().translate(toxicity.UNMASK) for m in re.findall(r"[^\W\d_]+(?:[0-9@$!]+[^\W\d_]+)+", text)}
+        found |= masked
+        begins = lambda w, s: w == s.strip() if s.endswith(" ") else w.startswith(s)
+        hits = [i for i, (s, k) in enumerate(model.terms) if sum(begins(w, s) for w in found) >= k]
+        held = len({w for w in found for s, _ in model.terms if begins(w, s)}) if hits else 0
+        hidden = any(sum(begins(w, s) for w in masked) >= k for s, k in model.terms)
+        n, you = max(len(found), 1), min(1, len(found & toxicity.SECOND) / 2)
+        more = [min(held, 4) / 4, bool(hits), min(1, 20 * held / n), hidden, you * (held > 0), min(1, len(set(re.findall(r"\b[A-Z]{3,}\b", text))) / n), min(1, text.count("!") / n), any(re.search(r"([^\W\d_])\1\1", w) for w in found), 1]
+        return 1 / (1 + np.exp(-sum(model.weights[i] for i in hits) - sum(a * b for a, b in zip(model.weights[len(model.terms) :], more))))
+
+    assert np.allclose([model.score(t) for t in texts], [score(t) for t in texts])
+    assert model.score(None) == model.score("") and {"nitw", "dunc", "grum"} <= {s for s, _ in model.terms}
+    assert model.score("a n1twit") > model.score("a")
+
+
+def test_terms_of_several_words():
+    """A beginning that clean documents hold once and toxic ones several times is a term from two words on."""
+    rng = np.random.default_rng(4)
+    docs, toxic = [], []
+    for i in range(400):
+        own = {f"w{rng.integers(10**6)}x" for _ in range(20)} | {f"bomb{'abcdefgh'[k]}{i % 26}" for k in range((3 if i % 4 == 0 else int(rng.random() < 0.3)))}
+        docs.append(toxicity.seen(" ".join(sorted(own))))
+        toxic.append(int(i % 4 == 0))
+    assert ("bomb", 2) in toxicity.lexicon(docs, np.array(toxic)) and ("bomb", 1) not in toxicity.lexicon(docs, np.array(toxic))
+    assert len(toxicity.lexicon(docs, np.array(toxic), 1)) == 1
+
+
+def test_held_out_documents_of_the_tables(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    found = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    hit = ((found.predicted == 1) & (found.toxic == 1)).sum()
+    assert hit / found.toxic.sum() >= 0.9 and hit / found.predicted.sum() >= 0.95
+    found = quality.scored(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    bad = ((found.predicted == 0) & (found.quality == 0)).sum()
+    assert (found.predicted == found.quality).mean() > 0.99 and bad / (found.quality == 0).sum() >= 0.97
+    print(bad / (found.quality == 0).sum(), bad / (found.predicted == 0).sum(), (found.predicted == found.quality).mean())
