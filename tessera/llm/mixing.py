@@ -9,7 +9,6 @@ tokens of the sample meet every target marginal. Only DataFrame functions are us
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,12 +17,14 @@ from pyspark.sql import functions as F
 from .common import WORD, dropped, durable, written
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Target shares where none are given: in proportion to a power of the tokens; under 1 evens a marginal out.
-POWERS = {"source": 0.8, "lang": 0.8, "topic": 1.0}
-#: Factors count as settled when none changes by a larger part; rounds after which fitting stops.
-SETTLED, ROUNDS = 1e-10, 60
+#: Target shares where none are given are those of a table of tokens to this power in each cell; under 1 evens the cells out.
+POWER = 0.8
+#: Factors count as settled when none changes by a larger part; rounds in which the change has to halve; how far a marginal may miss its target.
+SETTLED, PATIENCE, MISSED = 1e-10, 200, 1e-6
 #: Rounds between two looks at the change; and cells that one task may hold while fitting.
 AT_ONCE, CELLS = 5, 200_000
+#: Characters of a long word, and the digits that clusters of long words go by.
+LONG, DIGITS = 8, "0123456789abcdef"
 UNKNOWN = "unknown"
 
 
@@ -31,14 +32,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def form(text: Column, n_tokens: Column) -> Column:
-    """A topic for tables that have none: what kind of text it is."""
-    return (
-        F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(" | ")), "tabular")
-        .when(n_tokens < 100, "note")
-        .when(n_tokens < 400, "article")
-        .otherwise("essay")
-    )
+def digits_of(text: Column) -> Column:
+    """The first digit of the MD5 of each distinct long word of the text: texts that share much of their vocabulary have similar ones."""
+    long = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(" + WORD[:-1] + f"{{{LONG},}})"), F.lit(1))
+    return F.array_join(F.transform(F.array_distinct(long), lambda w: F.substring(F.md5(w.cast("binary")), 1, 1)), "")
+
+
+def cluster(digits: Column) -> Column:
+    """The topic from the digits of the text's long words: the most frequent one, ties to the smaller; "none" without any."""
+    counts = [16 * (F.length(digits) - F.length(F.replace(digits, F.lit(d), F.lit("")))) + 15 - i for i, d in enumerate(DIGITS)]
+    return F.when(digits == "", "none").otherwise(F.concat(F.lit("topic-"), F.substring(F.lit(DIGITS[::-1]), (F.greatest(*counts) % 16 + 1).cast("int"), F.lit(1))))
 
 
 def _label(column: Column) -> Column:
@@ -51,21 +54,21 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, columns: Mapping[str,
         F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), tokens(text).alias("__tokens"), *[_label(F.col(f"`{c}`")).alias(f"__{d}") for d, c in columns.items() if c], *([kept] if kept is not None else [])
     )
     if columns.get("topic") is None:
-        found = found.withColumn("__topic", form(F.col("__text"), F.col("__tokens")))
+        found = found.withColumn("__digits", digits_of(F.col("__text"))).withColumn("__topic", cluster(F.col("__digits"))).drop("__digits")
     return found.drop("__text")
 
 
-def _shares(cells: DataFrame, dimension: str, target: Mapping[str, float] | DataFrame | None) -> DataFrame:
+def _shares(cells: DataFrame, dimension: str, target: Mapping[str, float] | DataFrame | None, power: float) -> DataFrame:
     """(__<dimension>, __t_<dimension>): target tokens of the values that have tokens, as parts of 1."""
     key = f"__{dimension}"
-    present = cells.groupBy(key).agg(F.sum("__tokens").cast("double").alias("held")).where("held > 0")
+    present = cells.where("__tokens > 0").groupBy(key).agg(F.sum(F.pow(F.col("__tokens").cast("double"), F.lit(power))).alias("share"))
     if isinstance(target, Mapping):
         target = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in target.items()], "value string, share double")
     if target is None:
-        wanted = present.select(key, F.pow("held", F.lit(POWERS[dimension])).alias("share"))
+        wanted = present
     else:
         given = target.select(F.col("value").cast("string").alias(key), F.col("share").cast("double"))
-        wanted = present.join(given, key, "left").select(key, F.coalesce("share", F.lit(0.0)).alias("share"))
+        wanted = present.select(key).join(given, key, "left").select(key, F.coalesce("share", F.lit(0.0)).alias("share"))
     total = wanted.agg(F.sum("share")).first()[0]
     return wanted.select(key, (F.col("share") / F.lit(total or 1.0)).alias(f"__t_{dimension}"))
 
@@ -87,25 +90,26 @@ def _refit(cells: DataFrame, dimension: str, total: int, together: bool) -> Data
     return cells.withColumn("__fresh", fresh).withColumn("__change", change).drop(factor, "__held").withColumnRenamed("__fresh", factor)
 
 
-def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | DataFrame] | None = None) -> DataFrame:
+def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | DataFrame] | None = None, power: float = POWER) -> DataFrame:
     """cells (__source, __lang, __topic, __tokens), as a stored table -> (__source, __lang, __topic, __tokens, __weight).
 
     targets: shares of tokens for the values of a dimension; values that are missing get none. A dimension
-    without targets takes POWERS. Cells without tokens have the product of their values' factors for a weight,
-    as others do. Up to CELLS cells are fitted in one task, several rounds at a time; more are summed where
-    they lie and joined with the sums. Factors so far are a table in the shared folder. Marginals that
-    contradict each other (where the cells between them have no tokens) do not settle: after ROUNDS rounds the
-    factors stand as they are, with a warning; the last dimension's targets are then met, the others nearly.
+    without targets takes the marginal of the cells' tokens to the power, so that targets of this kind alone can
+    always be met. Cells without tokens have the product of their values' factors for a weight, as others do. Up to
+    CELLS cells are fitted in one task, several rounds at a time; more are summed where they lie and joined with the
+    sums. Factors so far are a table in the shared folder. Rounds go on until no factor changes. Targets that
+    contradict each other (where the cells between them have no tokens) do not settle, or leave a marginal that misses its
+    target: they raise ValueError.
     """
     spark = cells.sparkSession
     total, number = cells.agg(F.sum("__tokens"), F.count("*")).first()
     together = number <= CELLS
     state = cells
     for d in DIMENSIONS:
-        state = state.join(_shares(cells, d, (targets or {}).get(d)), f"__{d}", "left").withColumn(f"__f_{d}", F.lit(1.0))
+        state = state.join(_shares(cells, d, (targets or {}).get(d), power), f"__{d}", "left").withColumn(f"__f_{d}", F.lit(1.0))
     state, path = written(state.withColumn("__change", F.lit(0.0)))
-    change = None
-    for _ in range(0, ROUNDS if total else 0, AT_ONCE):
+    best, since, change = float("inf"), 0, float("inf") if total else 0.0
+    while change >= SETTLED:
         last = path
         for step in range(AT_ONCE):
             state = (state.coalesce(1) if together and not step else state).withColumn("__change", F.lit(0.0))
@@ -119,11 +123,18 @@ def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | DataFrame]
             state, path = written(state)
             dropped(spark, last)
         change = state.agg(F.max("__change")).first()[0]
-        if change < SETTLED:
-            break
-    if change is not None and change >= SETTLED:
-        warnings.warn(f"the marginals have not settled in {ROUNDS} rounds: a factor still changes by {change:.2g}", stacklevel=2)
+        since += AT_ONCE
+        if change <= best / 2:
+            best, since = change, 0
+        if since >= PATIENCE:
+            raise ValueError(f"the targets contradict each other: a factor still changes by {change:.2g}")
     weight = F.col("__f_source") * F.col("__f_lang") * F.col("__f_topic")
+    if total:
+        for d in DIMENSIONS:
+            held = state.groupBy(f"__{d}").agg(F.sum(F.col("__tokens") * weight).alias("held"), F.first(F.coalesce(f"__t_{d}", F.lit(0.0))).alias("wanted"))
+            missed = held.agg(F.max(F.abs(F.col("held") / F.lit(float(total)) - F.col("wanted")))).first()[0]
+            if missed > MISSED:
+                raise ValueError(f"the targets contradict each other: a share of {d} is missed by {missed:.2g}")
     return state.select(*[f"__{d}" for d in DIMENSIONS], "__tokens", weight.alias("__weight"))
 
 
@@ -143,6 +154,7 @@ def mixed(
     lang_col: str = "lang",
     topic_col: str | None = None,
     keep: list[str] | None = None,
+    power: float = POWER,
 ) -> DataFrame:
     """A row for each row of docs: id, source, lang, topic, n_tokens, weight, probability, kept.
 
@@ -150,14 +162,14 @@ def mixed(
     factors, probability the calibrated chance, kept the draw, which depends on the id and the seed only: rows
     with equal ids go together. A NULL source, language or topic is a value of its own, "unknown". NULL and
     empty texts have no tokens and are drawn like others of their cell. Without topic_col the topic is the
-    kind of text (form()). keep: columns of docs to return instead of the measures, with kept alone added as
+    cluster of most of the text's long words (cluster()). targets and power are those of fit(). keep: columns of docs to return instead of the measures, with kept alone added as
     __kept. Clashing names of other columns do not matter.
     """
     columns = {"source": source_col, "lang": lang_col, "topic": topic_col}
     held = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc") if keep else None
     keys = [f"__{d}" for d in DIMENSIONS]
     cells = durable(_measured(docs, id_col, text_col, columns, None).groupBy(*keys).agg(F.sum("__tokens").alias("__tokens")))
-    weights = fit(cells, targets)
+    weights = fit(cells, targets, power)
     most = weights.where("__tokens > 0").agg(F.max("__weight")).first()[0] or 1.0
     drawn = _measured(docs, id_col, text_col, columns, held).join(weights.drop("__tokens"), keys).withColumn("__p", F.least(F.lit(1.0), F.col("__weight") / F.lit(most)))
     kept = _chance(F.col("__id"), seed) < F.col("__p")
@@ -180,7 +192,7 @@ def oracle(seed: int = 42, rounds: int = 25) -> str:
     steps = []
     for d in DIMENSIONS:
         steps.append(
-            f"sh_{d} AS MATERIALIZED (SELECT v, pow(h, {POWERS[d]}) / (sum(pow(h, {POWERS[d]})) OVER ()) * (SELECT sum(n) FROM c) AS want FROM (SELECT {d} AS v, sum(n)::DOUBLE AS h FROM c GROUP BY 1) WHERE h > 0)"
+            f"sh_{d} AS MATERIALIZED (SELECT v, h / (sum(h) OVER ()) * (SELECT sum(n) FROM c) AS want FROM (SELECT {d} AS v, sum(pow(n::DOUBLE, {POWER})) AS h FROM c WHERE n > 0 GROUP BY 1))"
         )
         steps.append(f"{d}_0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE AS f FROM sh_{d})")
     for r in range(1, rounds + 1):
@@ -191,13 +203,14 @@ def oracle(seed: int = 42, rounds: int = 25) -> str:
             steps.append(f"{d}_{r} AS MATERIALIZED (SELECT s.v, CASE WHEN h > 0 THEN want / h ELSE 1.0 END AS f FROM sh_{d} s JOIN (SELECT c.{d} AS v, sum(c.n::DOUBLE * {product}) AS h FROM c {joins} GROUP BY 1) USING (v))")
     last = " ".join(f"LEFT JOIN {d}_{rounds} ON {d}_{rounds}.v = x.{d}" for d in DIMENSIONS)
     weight = " * ".join(f"coalesce({d}_{rounds}.f, 1.0)" for d in DIMENSIONS)
-    words = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+    counts = ", ".join(f"16 * (length(h) - length(replace(h, '{x}', ''))) + {15 - i}" for i, x in enumerate(DIGITS))
     return f"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '{UNKNOWN}') AS source, coalesce(lang, '{UNKNOWN}') AS lang, len({words})::BIGINT AS n, coalesce(text, '') AS text
+  SELECT doc_id, coalesce(source, '{UNKNOWN}') AS source, coalesce(lang, '{UNKNOWN}') AS lang, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n,
+         coalesce(array_to_string([md5(w)[1] FOR w IN list_distinct(regexp_extract_all(coalesce(text, ''), '{WORD[:-1]}{{{LONG},}}'))], ''), '') AS h
   FROM documents),
 t AS MATERIALIZED (
-  SELECT doc_id, source, lang, n, CASE WHEN contains(text, ' | ') THEN 'tabular' WHEN n < 100 THEN 'note' WHEN n < 400 THEN 'article' ELSE 'essay' END AS topic
+  SELECT doc_id, source, lang, n, CASE WHEN h = '' THEN 'none' ELSE 'topic-' || substr('{DIGITS[::-1]}', (greatest({counts}) % 16 + 1)::INT, 1) END AS topic
   FROM d),
 c AS MATERIALIZED (SELECT source, lang, topic, sum(n)::BIGINT AS n FROM t GROUP BY ALL),
 {", ".join(steps)},

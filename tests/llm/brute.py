@@ -85,21 +85,22 @@ def cleaned(docs, least):
     return {i: "\n".join(line for n, line in enumerate((text or "").split("\n")) if stays(line, (i, n))) for i, text, site in docs}
 
 
-def draws(docs, powers, seed, rounds=60):
-    """docs: (id, text, source, lang) -> {id: (weight, probability, kept)} by fitting to powers of the marginals."""
+def draws(docs, power, seed, rounds=300):
+    """docs: (id, text, source, lang) -> {id: (weight, probability, kept)} by fitting to the marginals of a table of powers."""
     cells, where = Counter(), {}
     for i, text, source, lang in docs:
         n = len(words(text))
-        topic = "tabular" if " | " in (text or "") else "note" if n < 100 else "article" if n < 400 else "essay"
+        digits = Counter(md5(w).hexdigest()[0] for w in set(words(text)) if len(w.decode()) >= 8)
+        topic = "topic-" + min(digits, key=lambda d: (-digits[d], d)) if digits else "none"
         where[i] = (source or "unknown", lang or "unknown", topic)
         cells[where[i]] += n
     total = sum(cells.values())
     target = []
-    for d, power in enumerate(powers):
-        held = Counter()
+    for d in range(3):
+        shares = Counter()
         for cell, n in cells.items():
-            held[cell[d]] += n
-        shares = {k: n**power for k, n in held.items() if n}
+            if n:
+                shares[cell[d]] += n**power
         target.append({k: s / sum(shares.values()) * total for k, s in shares.items()})
     factor = [dict.fromkeys(t, 1.0) for t in target]
     weight = lambda cell: math.prod(f.get(v, 1.0) for f, v in zip(factor, cell))

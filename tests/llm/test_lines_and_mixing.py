@@ -57,7 +57,7 @@ def test_queries_equal_their_sql(spark, data, duck, name):
 
 
 def test_mixing_of_odd_documents(odd, none, rows):
-    want = draws([(i, t, s, lang) for i, t, s, lang in rows if i is not None], [mixing.POWERS[d] for d in mixing.DIMENSIONS], 42, mixing.ROUNDS)
+    want = draws([(i, t, s, lang) for i, t, s, lang in rows if i is not None], mixing.POWER, 42)
     got = mixing.mixed(odd.where("doc_id is not null")).collect()
     assert len(got) == 15
     for r in got:
@@ -81,11 +81,12 @@ def test_expected_tokens_meet_the_targets(spark):
     assert 0.93 < sampled < 1.07
 
 
-def test_targets_that_contradict_each_other(spark):
+@pytest.mark.parametrize("lang", [{"en": 0.1, "de": 0.9}, {"de": 1.0}])
+def test_targets_that_contradict_each_other_raise(spark, monkeypatch, lang):
+    monkeypatch.setattr(mixing, "PATIENCE", 20)
     docs = spark.createDataFrame([(1, "a b", "s0", "en"), (2, "c d", "s1", "de")], "doc_id long, text string, source string, lang string")
-    with pytest.warns(UserWarning, match="not settled"):
-        found = mixing.mixed(docs, {"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.1, "de": 0.9}})
-    assert found.count() == 2
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.mixed(docs, {"source": {"s0": 0.9, "s1": 0.1}, "lang": lang})
 
 
 def test_fitting_in_one_task_and_in_many_agree(spark, monkeypatch):

@@ -22,7 +22,7 @@ def test_run_equals_plain_steps(spark):
     ids = sorted(good)
     of = near_classes([text[i] for i in ids], 5, 0.8)
     single = [i for n, i in enumerate(ids) if of[n] == n]
-    chance = draws([(i, text[i], rows[i].source, rows[i].lang) for i in single], [mixing.POWERS[d] for d in mixing.DIMENSIONS], 42)
+    chance = draws([(i, text[i], rows[i].source, rows[i].lang) for i in single], mixing.POWER, 42)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = {i: encoding.encode_ordinary(text[i]) for i in single if chance[i][2]}
