@@ -18,7 +18,7 @@ from .common import WORD, dropped, durable, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares where none are given are those of a table of tokens to this power in each cell; under 1 evens the cells out.
-POWER = 0.8
+POWER = 0.9
 #: Factors count as settled when none changes by a larger part; rounds in which the change has to halve; how far a marginal may miss its target.
 SETTLED, PATIENCE, MISSED = 1e-10, 200, 1e-6
 #: Rounds between two looks at the change; and cells that one task may hold while fitting.
@@ -44,6 +44,11 @@ def cluster(digits: Column) -> Column:
     return F.when(digits == "", "none").otherwise(F.concat(F.lit("topic-"), F.substring(F.lit(DIGITS[::-1]), (F.greatest(*counts) % 16 + 1).cast("int"), F.lit(1))))
 
 
+def topic(text: Column) -> Column:
+    """A topic for tables that have none. The digits are bound to a variable, so that they are made once."""
+    return F.element_at(F.transform(F.array(digits_of(text)), cluster), 1)
+
+
 def _label(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(UNKNOWN))
 
@@ -54,7 +59,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, columns: Mapping[str,
         F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), tokens(text).alias("__tokens"), *[_label(F.col(f"`{c}`")).alias(f"__{d}") for d, c in columns.items() if c], *([kept] if kept is not None else [])
     )
     if columns.get("topic") is None:
-        found = found.withColumn("__digits", digits_of(F.col("__text"))).withColumn("__topic", cluster(F.col("__digits"))).drop("__digits")
+        found = found.withColumn("__topic", topic(F.col("__text")))
     return found.drop("__text")
 
 
@@ -171,7 +176,7 @@ def mixed(
     cells = durable(_measured(docs, id_col, text_col, columns, None).groupBy(*keys).agg(F.sum("__tokens").alias("__tokens")))
     weights = fit(cells, targets, power)
     most = weights.where("__tokens > 0").agg(F.max("__weight")).first()[0] or 1.0
-    drawn = _measured(docs, id_col, text_col, columns, held).join(weights.drop("__tokens"), keys).withColumn("__p", F.least(F.lit(1.0), F.col("__weight") / F.lit(most)))
+    drawn = _measured(docs, id_col, text_col, columns, held).join(weights.drop("__tokens"), keys, "left").withColumn("__p", F.least(F.lit(1.0), F.col("__weight") / F.lit(most)))
     kept = _chance(F.col("__id"), seed) < F.col("__p")
     if keep:
         return drawn.select(*[F.col(f"__doc.`{c}`").alias(c) for c in keep], kept.alias("__kept"))
