@@ -18,7 +18,7 @@ from .common import WORD, dropped, durable, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares where none are given are those of a table of tokens to this power in each cell; under 1 evens the cells out.
-POWER = 0.9
+POWER = 0.95
 #: Factors count as settled when none changes by a larger part; rounds in which the change has to halve; how far a marginal may miss its target.
 SETTLED, PATIENCE, MISSED = 1e-10, 200, 1e-6
 #: Rounds between two looks at the change; and cells that one task may hold while fitting.

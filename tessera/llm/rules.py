@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects some documents and costs some time. Both are estimated on a sample of documents; then the
-rules run in order of rejections per cost, and a document leaves the cascade at the first rule that rejects
-it. Measures of a document are computed when a rule first asks for them and are shared by later rules. The
-order changes the time only: a document is kept if no rule rejects it.
+rules are put in order one after the other: next comes the rule of most rejections per cost among the documents
+that the rules before it let pass, and a document leaves the cascade at the first rule that rejects it. Measures
+of a document are computed when a rule first asks for them and are shared by later rules, so they cost the first
+rule only. The order changes the time only: a document is kept if no rule rejects it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import map_texts
 #: Characters that count as symbols, and the window of repeated words.
 SYMBOLS, WINDOW = "#*$%&|<>", 8
 SPACE = " \t\n\r\x0b\x0c"
-#: Documents whose texts the cost and the selectivity of the rules are estimated on, and their characters, at most.
-SAMPLE, SAMPLE_CHARS = 512, 100_000
+#: Documents that the cost and the selectivity of the rules are estimated on, at most.
+SAMPLE = 512
 
 
 class Measures:
@@ -94,29 +95,54 @@ class Measures:
 class Rule(NamedTuple):
     name: str
     rejects: Callable[[Measures], bool]
+    #: Measures that it asks for, each after those that it is made from.
+    needs: tuple[str, ...] = ()
 
 
 RULES = (
-    Rule("few_words", lambda m: m.n_words < 20),
-    Rule("repeated_windows", lambda m: 100 * m.n_repeat_words > 30 * m.n_words),
-    Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
-    Rule("repeated_lines", lambda m: 2 * m.n_dup_lines > len(m.lines)),
-    Rule("adjacent_repeats", lambda m: 5 * m.n_adjacent > m.n_words),
-    Rule("capitals", lambda m: 2 * m.n_capital > m.n_words),
-    Rule("short_words", lambda m: 2 * m.word_chars < 3 * m.n_words),
-    Rule("long_words", lambda m: m.word_chars > 200 * m.n_words),
+    Rule("few_words", lambda m: m.n_words < 20, ("words", "n_words")),
+    Rule("repeated_windows", lambda m: 100 * m.n_repeat_words > 30 * m.n_words, ("words", "n_words", "n_repeat_words")),
+    Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words, ("words", "n_words", "n_symbols")),
+    Rule("repeated_lines", lambda m: 2 * m.n_dup_lines > len(m.lines), ("lines", "n_dup_lines")),
+    Rule("adjacent_repeats", lambda m: 5 * m.n_adjacent > m.n_words, ("words", "n_words", "n_adjacent")),
+    Rule("capitals", lambda m: 2 * m.n_capital > m.n_words, ("words", "n_words", "n_capital")),
+    Rule("short_words", lambda m: 2 * m.word_chars < 3 * m.n_words, ("words", "n_words", "word_chars")),
+    Rule("long_words", lambda m: m.word_chars > 200 * m.n_words, ("words", "n_words", "word_chars")),
 )
 
+#: Seconds of each measure and rule on one text, and which rules reject it.
+Tried = tuple[dict[str, float], Sequence[bool]]
 
-def order(rules: Sequence[Rule], texts: Sequence[str]) -> list[Rule]:
-    """The rules by rejections per second on the texts, most first; as they stand if there are no texts."""
 
-    def rate(rule: Rule) -> float:
+def tried(rules: Sequence[Rule], text: str) -> Tried:
+    measures, seconds, rejected = Measures(text), {}, []
+    for rule in rules:
+        for need in rule.needs:
+            if need not in seconds:
+                began = perf_counter()
+                getattr(measures, need)
+                seconds[need] = perf_counter() - began
         began = perf_counter()
-        rejected = sum(rule.rejects(Measures(t)) for t in texts)
-        return rejected / max(perf_counter() - began, 1e-9)
+        rejected.append(bool(rule.rejects(measures)))
+        seconds[rule.name] = perf_counter() - began
+    return seconds, rejected
 
-    return sorted(rules, key=rate, reverse=True) if texts else list(rules)
+
+def order(rules: Sequence[Rule], sample: Sequence[Tried]) -> list[Rule]:
+    """The rules, next always the one of most rejections per second among the texts left; as they stand without texts."""
+    left, known, rest, found = list(sample), set(), list(range(len(rules))), []
+    while rest:
+
+        def rate(i: int) -> float:
+            needs = [rules[i].name, *(n for n in rules[i].needs if n not in known)]
+            return sum(rejected[i] for _, rejected in left) / max(sum(seconds[n] for seconds, _ in left for n in needs), 1e-9)
+
+        best = max(rest, key=rate)
+        rest.remove(best)
+        found.append(rules[best])
+        known.update(rules[best].needs)
+        left = [t for t in left if not t[1][best]]
+    return found
 
 
 def keeps(rules: Sequence[Rule], measures: Measures) -> bool:
@@ -126,13 +152,26 @@ def keeps(rules: Sequence[Rule], measures: Measures) -> bool:
 def screened(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row of docs.
 
-    sample bounds the documents that the order of the rules is estimated on; every document is judged. NULL
-    counts as an empty text, which has no words and fails. Rows with equal or NULL ids each keep their own
-    row. Other columns of docs are not read.
+    sample bounds the documents that the order of the rules is estimated on, those of the smallest hashes of
+    their texts, of any length; they are tried on an executor, and only times and verdicts reach the driver.
+    Every document is judged. NULL counts as an empty text, which has no words and fails. Rows with equal or NULL
+    ids each keep their own row. Other columns of docs are not read; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    first = docs.select(text.alias("t")).where(F.length("t") <= SAMPLE_CHARS).limit(sample).collect()
-    ordered = order(rules, [r.t for r in first])
+    costs = list(dict.fromkeys(c for r in rules for c in (*r.needs, r.name)))
+    hashes = docs.select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(sample)
+    last = hashes.agg(F.max("h")).first()[0]
+    few = docs.select(text.alias("__body"), F.xxhash64(text).alias("h")).where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("__body")
+
+    def trying():
+        def work(texts):
+            found = [tried(rules, t) for t in texts]
+            return [[[seconds[c] for c in costs] for seconds, _ in found], [list(rejected) for _, rejected in found]]
+
+        return work
+
+    seen = [] if last is None else map_texts(few, "__body", [], "__seconds array<double>, __rejected array<boolean>", trying).collect()
+    ordered = order(rules, [(dict(zip(costs, r["__seconds"])), r["__rejected"]) for r in seen])
 
     def make():
         def work(texts):

@@ -45,7 +45,7 @@ def test_screened(odd, none, rows):
 def test_verdict_does_not_depend_on_the_order(spark, data):
     docs = table(spark, data, "documents")
     texts = [r.text for r in docs.collect()]
-    ordered = rules.order(rules.RULES, texts[:50])
+    ordered = rules.order(rules.RULES, [rules.tried(rules.RULES, t) for t in texts[:50]])
     assert sorted(r.name for r in ordered) == sorted(r.name for r in rules.RULES)
     for t in texts:
         assert rules.keeps(ordered, rules.Measures(t)) == rules.keeps(rules.RULES[::-1], rules.Measures(t))
@@ -56,11 +56,27 @@ def test_cheap_rejections_come_first_and_end_the_cascade():
     asked = []
     cheap = rules.Rule("cheap", lambda m: asked.append("cheap") or True)
     dear = rules.Rule("dear", lambda m: asked.append("dear") or sum(range(200_000)) < 0)
-    assert [r.name for r in rules.order([dear, cheap], ["t"] * 5)] == ["cheap", "dear"]
+    assert [r.name for r in rules.order([dear, cheap], [rules.tried([dear, cheap], "t")] * 5)] == ["cheap", "dear"]
     asked.clear()
     assert not rules.keeps([cheap, dear], rules.Measures("t")) and asked == ["cheap"]
 
 
+def test_shared_measures_cost_the_first_rule_only():
+    """By itself c is dearer than b; once a has paid for the measure that both use, it is cheaper, and rejects what a lets pass."""
+    three = [rules.Rule(n, lambda m: False, needs) for n, needs in (("a", ("words",)), ("b", ()), ("c", ("words",)))]
+    cost = {"words": 10.0, "a": 1.0, "b": 5.0, "c": 1.0}
+    sample = [(cost, (True, False, False))] * 50 + [(cost, (False, True, True))] * 10 + [(cost, (True, True, True))] * 5
+    assert [r.name for r in rules.order(three, sample)] == ["a", "c", "b"]
+    assert [r.name for r in rules.order(three[1:], sample)] == ["b", "c"]
+
+
+def test_long_texts_are_judged_and_sampled(spark):
+    texts = ["x y " * 60_000, " ".join(f"w{i}" for i in range(40_000)), "few", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r[:7]) for r in rules.screened(docs).collect())
+    assert got == [(i, *measures(t)) for i, t in enumerate(texts)]
+
+
 def test_clean_documents_stay(spark):
     data = "/root/testdata/sf0.1"
     found = rules.screened(table(spark, data, "documents")).join(table(spark, data, "labels"), "doc_id").toPandas()

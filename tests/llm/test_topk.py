@@ -12,10 +12,10 @@ from tessera.llm import topk
 def brute(rows, picked, k, scale=256):
     fit = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     found = []
-    for i, v in fit:
+    for n, (i, v) in enumerate(fit):
         if picked(i):
-            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in fit if j != i and len(w) == len(v))[:k]
-            found += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(fit) if m != n and len(w) == len(v))[:k]
+            found += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
     return sorted(found)
 
 
@@ -56,13 +56,27 @@ def test_few_or_no_candidates(spark):
 def test_large_numbers(spark):
     rows = [(i, [(-1.0) ** i * 2.0**20 + i, 3.0]) for i in range(101)]
     assert run(spark, rows) == brute(rows, lambda i: i % 50 == 0, 5)
-    with pytest.raises(OverflowError):
+    rows = [(0, [1e12, 1.0]), (1, [2.0, 1.0]), (50, [1.0, 0.5]), (2, [1.0, -1e12])]
+    assert run(spark, rows) == brute(rows, lambda i: i % 50 == 0, 5)
+    with pytest.raises(Exception, match="61 bits"):
         run(spark, [(0, [1e15, 1.0]), (1, [1e15, 1.0])])
 
 
+def test_rows_of_one_id_are_candidates_of_each_other(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [3.0, 0.0]), (7, [0.0, 1.0])]
+    got = run(spark, rows, k=2)
+    assert got == brute(rows, lambda i: i % 50 == 0, 2) and [r[2] for r in got].count(50) == 6
+
+
+def test_a_grid_of_cells(spark, monkeypatch):
+    for name, value in (("ROWS", 3), ("SENT", 0), ("GRID", (2, 3))):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(10 * i, [float(x) for x in rng.integers(-3, 4, 4) / 256]) for i in range(120)]
+    assert run(spark, rows, k=4) == brute(rows, lambda i: i % 50 == 0, 4)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 160), st.lists(st.floats(-2, 2, width=32), min_size=2, max_size=2)), min_size=1, max_size=40))
 def test_any_vectors(spark, rows):
-    seen = {}
-    rows = [seen.setdefault(i, (i, v)) for i, v in rows if i not in seen]
     assert run(spark, rows, k=3) == brute(rows, lambda i: i % 50 == 0, 3)
