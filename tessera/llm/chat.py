@@ -1,15 +1,15 @@
 """Conversations in reply order, with quotations linked to their originals and taken out.
 
 Lines that begin with ">" are quoted, as many times as there are marks. A run of lines of one level is a
-passage; its lines are normalised and hashed one by one, so that a partial quotation still links. A quoted
-line's original is the latest earlier message of the conversation that holds the line itself; a passage votes
-with its lines. A message replies to the original of its least-quoted passages that has most votes. Threads
-follow each other by their first messages; within a thread messages follow by turn, so that a reply comes
-after what it replies to. Only DataFrame functions are used.
-
-Nothing gathers a conversation in one task: originals are found per line, threads by pointer jumping, and
-positions from a range partitioning of all messages. Conversations are put together in segments of bounded
-length.
+passage. Passages are normalised (lower case, white space and line breaks as one space) and hashed as a whole; so are
+each message's own text, its paragraphs and its lines. A passage's original is the latest earlier message of the
+conversation that holds it in one of these forms, however it was wrapped; if none does, its lines are looked up one
+by one, and the message that holds most of them is its original. A message replies to the original of most
+of its least-quoted passages. Threads follow each other by their first messages; within a thread messages
+follow by turn, so that a reply comes after what it replies to. Only DataFrame functions are used.
+
+Nothing gathers a conversation in one task: originals are found per passage and line, threads by pointer jumping,
+and positions from a range partitioning of all messages.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import dropped, durable, written
 
-#: How a message is written; and messages of a segment of a conversation.
-TEMPLATE, SEGMENT = "<|im_start|>{role}\n{text}<|im_end|>", 256
+#: How a message is written.
+TEMPLATE = "<|im_start|>{role}\n{text}<|im_end|>"
 MARKS = r"^[ \t]*((?:>[ \t]*)*)"
 ATTRIBUTION = r"(?i)\bwrote:[ \t]*$"
 
@@ -29,8 +29,16 @@ def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), "[^>]", ""))
 
 
+def _spaced(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def _normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), r"\s+", " ")))
+    return _spaced(F.regexp_replace(line, MARKS, ""))
+
+
+def _hash(normal: Column) -> Column:
+    return F.md5(normal.cast("binary"))
 
 
 def _split(text: Column) -> Column:
@@ -47,26 +55,48 @@ def unquoted(text: Column) -> Column:
     return F.btrim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit("\n"))
 
 
-def _links(messages: DataFrame) -> DataFrame:
-    """messages (__conv, __turn, __row, __text) -> (__conv, __row, __to, __to_turn): what each quoting message replies to."""
-    named = messages.where("__conv is not null").dropDuplicates(["__conv", "__row"])
-    quoting = named.where(F.col("__text").rlike(r"(?m)^[ \t]*>"))
+def _units(text: Column) -> Column:
+    """The forms in which a message's own text may be quoted, normalised: whole, by paragraphs and by lines."""
+    lines = F.transform(_split(text), lambda x: F.when(_level(x) > 0, F.lit("")).otherwise(x))
+    paragraphs = F.split(F.array_join(lines, "\n"), r"\n\s*\n")
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array(unquoted(text)), paragraphs, lines), _spaced), lambda x: x != ""))
 
-    def lines(frame: DataFrame) -> DataFrame:
-        each = frame.select("__conv", "__turn", "__row", F.explode(_split(F.col("__text"))).alias("__line"))
-        marked = each.select("__conv", "__turn", "__row", _level(F.col("__line")).alias("__level"), _normal(F.col("__line")).alias("__normal"))
-        return marked.where("__normal <> ''").select("__conv", "__turn", "__row", "__level", F.md5(F.col("__normal").cast("binary")).alias("__hash"))
 
-    quoted = durable(lines(quoting).where("__level > 0"))
-    own = lines(named).where("__level = 0").join(quoted.select("__conv", "__hash").distinct(), ["__conv", "__hash"], "left_semi")
-    both = quoted.withColumn("__own", F.lit(0)).unionByName(own.withColumn("__own", F.lit(1)))
+def quotations(messages: DataFrame) -> DataFrame:
+    """messages (__conv, __turn, __row, __text) -> (__conv, __row, __run, __level, __source): each passage that has an original, and that one's (__turn, __row)."""
+    named = messages.where("__conv is not null").dropDuplicates(["__conv", "__row"])
+    quoting = named.where(F.col("__text").rlike(r"(?m)^[ \t]*>"))
+    each = quoting.select("__conv", "__turn", "__row", F.posexplode(_split(F.col("__text"))).alias("__pos", "__line"))
+    each = each.select("__conv", "__turn", "__row", "__pos", _level(F.col("__line")).alias("__level"), _normal(F.col("__line")).alias("__normal"))
+    along = Window.partitionBy("__conv", "__row").orderBy("__pos")  # the lines of one message
+    begins = (F.col("__level") != F.coalesce(F.lag("__level").over(along), F.lit(-1))).cast("int")
+    each = each.withColumn("__begins", begins).withColumn("__run", F.sum("__begins").over(along)).where("__level > 0 and __normal <> ''")
+    of = ["__conv", "__turn", "__row", "__run", "__level"]
+    # a passage's own lines; as a whole, if it has several
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__normal"))), lambda x: x["__normal"]), " ")
+    whole = each.groupBy(*of).agg(joined.alias("__all")).select(*of, F.lit(0).alias("__kind"), _hash(F.col("__all")).alias("__hash"))
+    quoted = durable(whole.union(each.select(*of, F.lit(1), _hash(F.col("__normal")))))
+    units = named.select("__conv", "__turn", "__row", F.explode(_units(F.col("__text"))).alias("__unit")).select("__conv", "__turn", "__row", _hash(F.col("__unit")).alias("__hash"))
+    own = units.join(quoted.select("__conv", "__hash").distinct(), ["__conv", "__hash"], "left_semi")
+    both = quoted.withColumn("__own", F.lit(0)).unionByName(own.withColumn("__own", F.lit(1)), allowMissingColumns=True)
     # in the order of turns, quotations before the originals of their own turn: the latest original seen is an earlier one
     seen = Window.partitionBy("__conv", "__hash").orderBy("__turn", "__own", "__row").rowsBetween(Window.unboundedPreceding, 0)
     source = F.last(F.when(F.col("__own") == 1, F.struct("__turn", "__row")), True).over(seen)
     met = both.withColumn("__source", source).where("__own = 0 and __source is not null")
-    votes = met.groupBy("__conv", "__row", "__level", "__source").agg(F.count("*").alias("__votes"))
-    best = votes.groupBy("__conv", "__row").agg(F.max(F.struct((-F.col("__level")).alias("level"), "__votes", "__source")).alias("b"))
-    return best.select("__conv", "__row", F.col("b.__source.__row").alias("__to"), F.col("b.__source.__turn").alias("__to_turn"))
+    votes = met.groupBy("__conv", "__row", "__run", "__level", "__kind", "__source").agg(F.count("*").alias("__votes"))
+    best = votes.groupBy("__conv", "__row", "__run", "__level").agg(F.max(F.struct((-F.col("__kind")).alias("whole"), "__votes", "__source")).alias("b"))
+    return best.select("__conv", "__row", "__run", "__level", F.col("b.__source").alias("__source"))
+
+
+def _links(messages: DataFrame) -> DataFrame:
+    """messages (__conv, __turn, __row, __text) -> (__conv, __row, __to, __to_turn, __quoted): what each quoting message replies to, and the turns of all originals."""
+    found = durable(quotations(messages))
+    votes = found.groupBy("__conv", "__row", "__level", "__source").agg(F.count("*").alias("__votes"))
+    best = votes.groupBy("__conv", "__row").agg(
+        F.max(F.struct((-F.col("__level")).alias("level"), "__votes", "__source")).alias("b"), F.array_sort(F.collect_set("__source.__turn")).alias("__turns")
+    )
+    turns = F.array_join(F.transform("__turns", lambda x: x.cast("string")), ",")
+    return best.select("__conv", "__row", F.col("b.__source.__row").alias("__to"), F.col("b.__source.__turn").alias("__to_turn"), turns.alias("__quoted"))
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -91,12 +121,19 @@ def _roots(links: DataFrame) -> DataFrame:
         dropped(spark, old)
 
 
-def threaded(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, position, turn, role, parent_turn, thread_turn, depth, text for every row of messages.
+def _said(template: str, role: Column, text: Column) -> Column:
+    head, rest = template.split("{role}")
+    middle, tail = rest.split("{text}")
+    return F.concat(F.lit(head), F.coalesce(role, F.lit("unknown")), F.lit(middle), text, F.lit(tail))
+
+
+def threaded(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = TEMPLATE) -> DataFrame:
+    """conv_id, position, turn, role, parent_turn, thread_turn, depth, quoted_turns, text, formatted for every row of messages.
 
     position counts from 1 within a conversation, in reply order; parent_turn is NULL and depth 0 where a
-    message replies to none; thread_turn is the turn of the thread's first message; text is without quotes. A
-    quotation of what no earlier message of the conversation holds links to nothing. A NULL text counts as
+    message replies to none; thread_turn is the turn of the thread's first message; quoted_turns has the turns of
+    all passages' originals, with commas, and is empty without any; text is without quotes, formatted is the message
+    by the template (a NULL role as "unknown"): one after the other they are the conversation. A quotation of what no earlier message of the conversation holds links to nothing. A NULL text counts as
     empty. Rows without a conversation are not linked, and are positioned together. A NULL turn comes first.
     Equal rows have equal links and adjacent positions.
     """
@@ -109,6 +146,7 @@ def threaded(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     linked = rows.join(roots, ["__conv", "__row"], "left").select(
         "__conv", "__turn", "__role", "__row", unquoted(F.col("__text")).alias("__text"), F.col("__to_turn").alias("__parent"),
         F.coalesce("__root", "__row").alias("__root"), F.when(F.col("__root").isNull(), F.col("__turn")).otherwise(F.col("__root_turn")).alias("__thread"), F.coalesce("__depth", F.lit(0)).alias("__depth"),
+        F.coalesce("__quoted", F.lit("")).alias("__quoted"),
     )
     order = ["__conv", "__thread", "__root", "__turn", "__row"]
     ranged = linked.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -125,22 +163,22 @@ def threaded(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         F.col("__parent").alias("parent_turn"),
         F.col("__thread").alias("thread_turn"),
         F.col("__depth").alias("depth"),
+        F.col("__quoted").alias("quoted_turns"),
         F.col("__text").alias("text"),
+        _said(template, F.col("__role"), F.col("__text")).alias("formatted"),
     )
 
 
-def conversations(messages: DataFrame, template: str = TEMPLATE, segment: int = SEGMENT, **columns: str) -> DataFrame:
+def conversations(messages: DataFrame, segment: int, **options: str) -> DataFrame:
     """conv_id, segment, n_messages, text: conversations written by the template, in reply order, without quotes.
 
-    A segment holds at most `segment` messages; longer conversations have several, from 0. A message that is
-    only quotes stays, as an empty one. A NULL role is written "unknown". Parameters and edge cases as in threaded().
+    A segment holds `segment` messages, the last one fewer; longer conversations have several, from 0, so that no
+    task gathers an unbounded one. A message that is only quotes stays, as an empty one. Options and edge cases as in
+    threaded().
     """
-    head, rest = template.split("{role}")
-    middle, tail = rest.split("{text}")
-    said = F.concat(F.lit(head), F.coalesce("role", F.lit("unknown")), F.lit(middle), F.col("text"), F.lit(tail))
-    rows = threaded(messages, **columns).select("conv_id", F.floor((F.col("position") - 1) / segment).alias("segment"), "position", said.alias("said"))
-    grouped = rows.groupBy("conv_id", "segment").agg(F.count("*").alias("n_messages"), F.sort_array(F.collect_list(F.struct("position", "said"))).alias("all"))
-    return grouped.select("conv_id", "segment", "n_messages", F.array_join(F.transform("all", lambda x: x["said"]), "\n").alias("text"))
+    rows = threaded(messages, **options).select("conv_id", F.floor((F.col("position") - 1) / segment).alias("segment"), "position", "formatted")
+    grouped = rows.groupBy("conv_id", "segment").agg(F.count("*").alias("n_messages"), F.sort_array(F.collect_list(F.struct("position", "formatted"))).alias("all"))
+    return grouped.select("conv_id", "segment", "n_messages", F.array_join(F.transform("all", lambda x: x["formatted"]), "\n").alias("text"))
 
 
 #: DuckDB SQL for threaded() over conversations, in which no two rows have the same conversation and turn.
@@ -150,22 +188,38 @@ l AS MATERIALIZED (
   SELECT conv_id, turn, i, line, len(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)*)', 1), '[^>]', '', 'g')) AS level,
          lower(trim(regexp_replace(regexp_replace(line, '^[ \t]*((?:>[ \t]*)*)', ''), '\s+', ' ', 'g'))) AS n
   FROM (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM m)),
-s AS (
-  SELECT q.conv_id, q.turn, q.level, max(o.turn) AS src
-  FROM l q JOIN l o ON o.conv_id = q.conv_id AND o.n = q.n AND o.level = 0 AND o.turn < q.turn
-  WHERE q.level > 0 AND q.n <> '' GROUP BY q.conv_id, q.turn, q.level, q.i),
+u AS MATERIALIZED (
+  SELECT conv_id, turn, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (says AND coalesce(next, 0) > 0)), ''), chr(10)) AS text
+  FROM (SELECT *, regexp_matches(line, '(?i)\bwrote:[ \t]*$') AS says, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i) AS next FROM l)
+  GROUP BY ALL),
+r AS MATERIALIZED (
+  SELECT *, sum(b) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run
+  FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER w OR (level = 0 AND (n = '') IS DISTINCT FROM (lag(n) OVER w = '')) THEN 1 ELSE 0 END AS b
+        FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i))),
+o AS MATERIALIZED (
+  SELECT DISTINCT conv_id, turn, n FROM (
+    SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM u
+    UNION ALL SELECT conv_id, turn, string_agg(n, ' ' ORDER BY i) FROM r WHERE level = 0 AND n <> '' GROUP BY conv_id, turn, run
+    UNION ALL SELECT conv_id, turn, n FROM l WHERE level = 0) WHERE n <> ''),
+q AS MATERIALIZED (
+  SELECT conv_id, turn, run, level, 0 AS kind, i, n FROM (SELECT conv_id, turn, run, level, 0 AS i, string_agg(n, ' ' ORDER BY i) AS n FROM r WHERE level > 0 AND n <> '' GROUP BY ALL)
+  UNION ALL SELECT conv_id, turn, run, level, 1, i, n FROM r WHERE level > 0 AND n <> ''),
+s AS MATERIALIZED (
+  SELECT q.conv_id, q.turn, q.run, q.level, q.kind, q.i, max(o.turn) AS src FROM q JOIN o ON o.conv_id = q.conv_id AND o.n = q.n AND o.turn < q.turn GROUP BY ALL),
+g AS MATERIALIZED (
+  SELECT conv_id, turn, level, src FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn, run ORDER BY kind, v DESC, src DESC) AS r
+    FROM (SELECT conv_id, turn, run, level, kind, src, count(*) AS v FROM s GROUP BY ALL)) WHERE r = 1),
+k AS (SELECT conv_id, turn, string_agg(src, ',' ORDER BY src) AS quoted FROM (SELECT DISTINCT conv_id, turn, src FROM g) GROUP BY ALL),
 p AS MATERIALIZED (
   SELECT conv_id, turn, src AS parent FROM (
     SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, v DESC, src DESC) AS r
-    FROM (SELECT conv_id, turn, level, src, count(*) AS v FROM s GROUP BY ALL)) WHERE r = 1),
+    FROM (SELECT conv_id, turn, level, src, count(*) AS v FROM g GROUP BY ALL)) WHERE r = 1),
 t AS (
   SELECT m.conv_id, m.turn, p.parent, m.turn AS thread, 0 AS depth FROM m LEFT JOIN p USING (conv_id, turn) WHERE p.parent IS NULL
   UNION ALL
-  SELECT p.conv_id, p.turn, p.parent, t.thread, t.depth + 1 FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.parent),
-u AS (
-  SELECT conv_id, turn, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (says AND coalesce(next, 0) > 0)), ''), chr(10)) AS text
-  FROM (SELECT *, regexp_matches(line, '(?i)\bwrote:[ \t]*$') AS says, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i) AS next FROM l)
-  GROUP BY ALL)
+  SELECT p.conv_id, p.turn, p.parent, t.thread, t.depth + 1 FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.parent)
 SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY t.thread, m.turn) AS position, m.turn, m.role,
-       t.parent AS parent_turn, t.thread AS thread_turn, t.depth, u.text
-FROM m JOIN t USING (conv_id, turn) JOIN u USING (conv_id, turn)"""
+       t.parent AS parent_turn, t.thread AS thread_turn, t.depth, coalesce(k.quoted, '') AS quoted_turns, u.text,
+       '<|im_start|>' || coalesce(m.role, 'unknown') || chr(10) || u.text || '<|im_end|>' AS formatted
+FROM m JOIN t USING (conv_id, turn) JOIN u USING (conv_id, turn) LEFT JOIN k USING (conv_id, turn)"""

@@ -20,6 +20,12 @@ TALK = [
     (3, 0, "user", None),
     (4, 7, "user", "starts late"),
     (4, 9, "user", "> starts late\n> not in it\nyes"),
+    (5, 0, "user", "alpha one\n\nalpha two"),
+    (5, 1, "user", "beta one\nbeta two\n\nbeta three is a long line of words"),
+    (5, 2, "user", "> alpha one\nI agree\n> beta one\n> beta two\nand this"),
+    (5, 3, "user", "> Beta three is a\n> long line\n>   of words\nwrapped"),
+    (5, 4, "user", "> alpha one\n>\n> alpha two\nall of it"),
+    (5, 5, "user", "> beta one\nx\n> alpha two\ny\n> alpha one\nmost of zero"),
 ]
 COLUMNS = ["conv_id", "turn", "role", "text"]
 
@@ -41,6 +47,9 @@ def test_threads(talk, duck):
     assert got[1, 2].text == "Fine thanks" and got[1, 4].text == "ok wrote:\nthen" and got[1, 5].text == "reply to good"
     assert got[2, 0].parent_turn is None and got[2, 2].parent_turn is None and got[2, 4].parent_turn == 3
     assert got[3, 0].text == "" and got[4, 9].parent_turn == 7
+    assert [got[5, t].parent_turn for t in range(6)] == [None, None, 1, 1, 0, 0]
+    assert [got[5, t].quoted_turns for t in range(6)] == ["", "", "0,1", "1", "0", "0,1"]
+    assert got[5, 3].formatted == "<|im_start|>user\nwrapped<|im_end|>" and got[2, 1].formatted == "<|im_start|>unknown\n<|im_end|>"
     own = duck.cursor()
     own.register("talk", pd.DataFrame(TALK, columns=COLUMNS))
     own.sql("create or replace temp view conversations as select * from talk")
@@ -49,7 +58,7 @@ def test_threads(talk, duck):
 
 def test_conversations(talk):
     found = {(r.conv_id, r.segment): r for r in chat.conversations(talk, segment=4).collect()}
-    assert [(k, found[k].n_messages) for k in sorted(found)] == [((1, 0), 4), ((1, 1), 3), ((2, 0), 4), ((2, 1), 1), ((3, 0), 1), ((4, 0), 2)]
+    assert [(k, found[k].n_messages) for k in sorted(found)] == [((1, 0), 4), ((1, 1), 3), ((2, 0), 4), ((2, 1), 1), ((3, 0), 1), ((4, 0), 2), ((5, 0), 4), ((5, 1), 2)]
     assert found[4, 0].text == "<|im_start|>user\nstarts late<|im_end|>\n<|im_start|>user\nyes<|im_end|>"
     assert found[2, 0].text.split("\n")[2] == "<|im_start|>unknown"
 
@@ -61,7 +70,7 @@ def test_nulls_repeated_rows_and_empty_tables(spark, talk):
     assert sorted(r.position for r in got if r.conv_id == 5) == [1, 2, 3, 4]
     assert all(r.depth == 0 for r in got if r.conv_id is None)
     assert [r.depth for r in got if r.text == "late"] == [1, 1]
-    assert chat.threaded(talk.where("false")).count() == 0 and chat.conversations(talk.where("false")).count() == 0
+    assert chat.threaded(talk.where("false")).count() == 0 and chat.conversations(talk.where("false"), 4).count() == 0
 
 
 def test_long_chain_and_long_conversation(spark):
