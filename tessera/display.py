@@ -7,6 +7,8 @@ from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 
+#: Corners and edges of the first, middle and last rule, then the bar and the line.
+FRAMES = {"box": ("┌┬┐", "├┼┤", "└┴┘", "│", "─"), "ascii": ("+++", "+++", "+++", "|", "-")}
 #: Rows that decide the widths of the columns.
 LEADING = 15
 
@@ -21,24 +23,25 @@ def bare(name: str) -> str:
     return name.rsplit(".", 1)[-1]
 
 
-def box(names: list[str], rows: Iterable[Iterable[object]]) -> Iterator[str]:
-    """Lines of a table with frames: heads centred, cells to the left. Without rows there are no lines."""
+def box(names: list[str], rows: Iterable[Iterable[object]], style: str = "box") -> Iterator[str]:
+    """Lines of a table with frames, drawn or in ASCII: heads centred, cells to the left. Without rows there are no lines."""
     texts = ([cell(v) for v in row] for row in rows)
     first = list(islice(texts, LEADING))
     if not first:
         return
+    top, middle, bottom, bar, line = FRAMES[style]
     heads = [bare(n) for n in names]
     widths = [max([len(h.encode()), *(len(r[i].encode()) for r in first)]) for i, h in enumerate(heads)]
 
-    def rule(left: str, middle: str, right: str) -> str:
-        return left + middle.join("─" * (w + 2) for w in widths) + right
+    def rule(ends: str) -> str:
+        return ends[0] + ends[1].join(line * (w + 2) for w in widths) + ends[2]
 
-    yield rule("┌", "┬", "┐")
-    yield "│" + "│".join(f" {h.center(w)} " for h, w in zip(heads, widths)) + "│"
-    yield rule("├", "┼", "┤")
+    yield rule(top)
+    yield bar + bar.join(f" {h.center(w)} " for h, w in zip(heads, widths)) + bar
+    yield rule(middle)
     for row in chain(first, texts):
-        yield "│" + "│".join(f" {v.ljust(w)} " for v, w in zip(row, widths)) + "│"
-    yield rule("└", "┴", "┘")
+        yield bar + bar.join(f" {v.ljust(w)} " for v, w in zip(row, widths)) + bar
+    yield rule(bottom)
 
 
 def listing(names: list[str], rows: Iterable[Iterable[object]]) -> Iterator[str]:
@@ -55,5 +58,6 @@ def show(frame: DataFrame, style: str = "box", out=print) -> None:
     """Prints a result as its rows arrive; the driver holds one partition at a time."""
     if not frame.columns:
         return
-    for line in (box if style == "box" else listing)(frame.columns, frame.toLocalIterator()):
+    rows = frame.toLocalIterator()
+    for line in listing(frame.columns, rows) if style == "list" else box(frame.columns, rows, style):
         out(line)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .display import show
 from .errors import DialectError
 from .plans import nodes as n
 from .plans.parser import parse
@@ -15,8 +16,8 @@ from .plans.planner import Plan, Planner
 from .sources import pagefile
 from .sources.catalog import Catalog
 
-#: Join strategies that the test statement compares.
-STRATEGIES = ("BROADCAST", "MERGE", "SHUFFLE_HASH", "SHUFFLE_REPLICATE_NL")
+#: Join strategies that the test statement compares, and rows of each result that it prints.
+STRATEGIES, PRINTED = ("BROADCAST", "MERGE", "SHUFFLE_HASH", "SHUFFLE_REPLICATE_NL"), 10
 
 
 class Engine:
@@ -53,13 +54,23 @@ class Engine:
         return relation.result(), plan
 
     def explain(self, select: n.Select) -> str:
-        """The plan in the dialect's terms, and Spark's own."""
-        frame, plan = self.plan(select)
+        """The plan in the dialect's terms, the ways to read its tables, and Spark's own plan."""
+        frame, _ = self.plan(select)
         physical = self.spark._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
-        return f"{plan.tree()}\n\n{physical}"
+        return f"{self.outline(select)}\n\n{physical}"
+
+    def outline(self, select: n.Select) -> str:
+        """The tree of the plan; below it, for each table that is not joined, every way to read it and the chosen one."""
+        planner = Planner(self.catalog)
+        _, plan = planner.select(select)
+        lines = [plan.tree()]
+        for table, ways, chosen in planner.alternatives:
+            lines.append(f"ways to read {table}:")
+            lines += [f"  {way}" + (" (chosen)" if way == chosen else "") for way in ways]
+        return "\n".join(lines)
 
     def compare(self, select: n.Select) -> DataFrame:
-        """strategy, n_rows, digest, agrees: the same select under each join strategy.
+        """strategy, n_rows, digest, agrees: the same select under each join strategy; its first rows are printed.
 
         The digest adds up hashes of the rows, so it does not depend on their order. A select with a limit over
         a join may pick other rows under another strategy, which then shows.
@@ -68,6 +79,8 @@ class Engine:
         for strategy in STRATEGIES:
             frame = self.plan(select, strategy)[0]
             digest = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]).cast("decimal(38,0)"))
+            print(f"# {strategy}")
+            show(frame.limit(PRINTED))
             rows, total = frame.agg(F.count("*"), digest).first()
             found.append((strategy, rows, str(total or 0)))
         agreed = [(s, r, d, (r, d) == found[0][1:]) for s, r, d in found]

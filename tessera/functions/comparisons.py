@@ -7,6 +7,8 @@ a join condition made of AND and OR. The forms keep what file sources can push d
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +32,8 @@ def class_of(kind: T.DataType) -> str:
 class Operand:
     """One side of a comparison. known: it cannot be NULL."""
 
-    def __init__(self, column: Column, kind: T.DataType, known: bool = False, literal: bool = False):
-        self.column, self.kind, self.known, self.literal = column, kind, known or literal, literal
+    def __init__(self, column: Column, kind: T.DataType, known: bool = False, literal: bool = False, value: object = None):
+        self.column, self.kind, self.known, self.literal, self.value = column, kind, known or literal, literal, value
 
     @property
     def rank(self) -> str:
@@ -80,8 +82,20 @@ def _other_class(operator: str, low: Operand, high: Operand) -> Column:
     return high.missing()
 
 
+def _read(literal: Operand, kind: T.DataType) -> Operand:
+    """A text literal as a value of a type outside the classes; ValueError if it is none."""
+    text = str(literal.value).strip()
+    if isinstance(kind, T.DateType):
+        return Operand(F.lit(date.fromisoformat(text)), kind, literal=True)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = datetime.fromisoformat(text).isoformat(" ")
+    elif isinstance(kind, T.BooleanType) and text.lower() not in ("true", "false"):
+        raise ValueError(f"{text!r} is neither true nor false")
+    return Operand(F.lit(text).cast(kind), kind, literal=True)
+
+
 def compare(operator: str, left: Operand, right: Operand) -> Column:
-    """The comparison as a condition for filters and joins."""
+    """The comparison as a condition for filters and joins. TypeError: the types have no order; ValueError: a literal is no value of the other side's type."""
     a, b = left.rank, right.rank
     if a == b:
         return _same_class(operator, left, right)
@@ -90,7 +104,7 @@ def compare(operator: str, left: Operand, right: Operand) -> Column:
             return _other_class(operator, left, right)
         return _other_class(MIRROR[operator], right, left)
     if right.literal and b == "text":
-        return _same_class(operator, left, Operand(right.column.cast(left.kind), left.kind, literal=True))
+        return _same_class(operator, left, _read(right, left.kind))
     if left.literal and a == "text":
-        return _same_class(operator, Operand(left.column.cast(right.kind), right.kind, literal=True), right)
+        return _same_class(operator, _read(left, right.kind), right)
     raise TypeError(f"{left.kind.simpleString()} and {right.kind.simpleString()} have no order")

@@ -33,8 +33,9 @@ class Output:
 class Relation:
     frame: DataFrame
     outputs: tuple[Output, ...]
-    #: The same rows with the columns of their place and the order by it; only for chains over one stored table.
-    ordered: Callable[[], tuple[DataFrame, list[Column]]] | None = None
+    #: The same rows, or those that some of the table's files give, with the columns of their place and the order by it;
+    #: only for chains over one stored table.
+    ordered: Callable[[Sequence[str] | None], tuple[DataFrame, list[Column]]] | None = None
 
     def resolve(self, name: str, qualifier: str | None, span: Span | None) -> Output:
         """The one column that the name stands for; exact spelling goes before other case."""
@@ -64,15 +65,15 @@ class Relation:
         return self.frame.select(*[F.col(o.internal).alias(n) for o, n in zip(self.outputs, names)])
 
 
-def named(frame: DataFrame, qualifiers: Sequence[str], prefix: str, ordered: Callable[[], tuple[DataFrame, list[Column]]] | None = None) -> Relation:
+def named(frame: DataFrame, qualifiers: Sequence[str], prefix: str, ordered: Callable[[Sequence[str] | None], tuple[DataFrame, list[Column]]] | None = None) -> Relation:
     """A stored table or subquery as a relation: internal names are the prefix and a number."""
     outputs = tuple(Output(f"{prefix}_{i}", f.name, tuple(qualifiers), f.dataType, f.nullable) for i, f in enumerate(frame.schema))
 
     def renamed(source: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         return source.select(*[F.col(f"`{o.name}`").alias(o.internal) for o in outputs], *extra)
 
-    def again() -> tuple[DataFrame, list[Column]]:
-        source, order = ordered()
+    def again(files: Sequence[str] | None = None) -> tuple[DataFrame, list[Column]]:
+        source, order = ordered(files)
         return renamed(source, [c for c in source.columns if c not in frame.columns]), order
 
     return Relation(renamed(frame), outputs, again if ordered else None)
@@ -82,8 +83,8 @@ def mapped(relation: Relation, change: Callable[[DataFrame], DataFrame], extra:
     """The relation with its frame changed; extra is the change that keeps further columns, for the ordered frame."""
     more = extra or change
 
-    def again() -> tuple[DataFrame, list[Column]]:
-        frame, order = relation.ordered()
+    def again(files: Sequence[str] | None = None) -> tuple[DataFrame, list[Column]]:
+        frame, order = relation.ordered(files)
         return more(frame), order
 
     return replace(relation, frame=change(relation.frame), ordered=again if relation.ordered else None, **fields)

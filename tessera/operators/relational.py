@@ -50,11 +50,19 @@ def grouped(relation: Relation, keys: Sequence[Output], calls: Sequence[tuple[st
 
 
 def limited(relation: Relation, count: int, offset: int = 0) -> Relation:
-    """The first rows. Over one stored table of several partitions, first means its stored order."""
+    """The first rows. Over one stored table of several partitions, first means its stored order.
+
+    Then the table's files are tried in the order of their paths, one, two, four and so on, until they give enough
+    rows; only these are read and ordered, by a top-k without a shuffle of the rows.
+    """
     if relation.ordered is None or count == 0 or (not relation.frame.isStreaming and relation.frame.rdd.getNumPartitions() <= 1):
         frame = relation.frame
     else:
-        whole, order = relation.ordered()
+        files = sorted(relation.frame.inputFiles())
+        tried, wanted = 1, count + offset
+        while tried < len(files) and relation.ordered(files[:tried])[0].limit(wanted).count() < wanted:
+            tried *= 2
+        whole, order = relation.ordered(files[:tried] if tried < len(files) else None)
         frame = whole.orderBy(*order)
     own = [F.col(o.internal) for o in relation.outputs]
     frame = frame.offset(offset).limit(count) if offset else frame.limit(count)

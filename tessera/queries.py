@@ -112,6 +112,13 @@ def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("select * from by_customer")
 
 
+def index_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A select over the table that the planner serves from the stored index."""
+    engine = Engine.open(spark, sf_dir)
+    engine.sql("create index by_customer on orders(o_custkey, o_orderstatus)")
+    return engine.sql("select o_orderstatus from orders where o_custkey = 7")
+
+
 def index_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine.open(spark, sf_dir)
     engine.sql("create index by_customer on orders(o_custkey, o_orderstatus)")
@@ -132,10 +139,40 @@ def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOINED = "select o.o_orderkey, c.c_name from orders as o join customer as c on o.o_custkey = c.c_custkey"
 
 
+EXPLAINED = (JOINED, "select count(*) as n from orders where o_custkey = 7")
+OUTLINE = (
+    "Project o.o_orderkey, c.c_name",
+    "└─ Join on o.o_custkey = c.c_custkey",
+    "   ├─ TableScan orders as o",
+    "   └─ TableScan customer as c",
+    "Project count(*) as n",
+    "└─ Group",
+    "   └─ Filter o_custkey = 7",
+    "      └─ IndexScan by_customer of orders",
+    "ways to read orders:",
+    "  TableScan orders",
+    "  IndexScan by_customer of orders (chosen)",
+)
+#: The listing of a folder of tables, from their columns.
+CATALOG_SQL = """
+select 'table' as type, table_name as name, table_name as tbl_name, row_number() over (order by table_name) as rootpage, 'create table ' || table_name || '(' || columns || ')' as sql
+from (select table_name, string_agg(column_name || ' ' || case when data_type in ('BIGINT', 'INTEGER', 'SMALLINT') then 'integer' when data_type in ('DOUBLE', 'FLOAT') or data_type like 'DECIMAL%' then 'real'
+               when data_type = 'VARCHAR' then 'text' when data_type = 'TIMESTAMP' then 'timestamp_ntz' when data_type = 'FLOAT[]' then 'array<float>' else lower(data_type) end, ', ' order by ordinal_position) as columns
+      from information_schema.columns
+      where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')
+      group by table_name)"""
+
+
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with contextlib.redirect_stdout(io.StringIO()) as out:
-        Engine.open(spark, sf_dir).sql(f"explain {JOINED}")
-    return spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+    """The outline of two plans, as explain prints it before Spark's own plan."""
+    engine = Engine.open(spark, sf_dir)
+    engine.sql("create index by_customer on orders(o_custkey)")
+    lines = []
+    for text in EXPLAINED:
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            engine.sql(f"explain {text}")
+        lines += out.getvalue().split("\n\n", 1)[0].splitlines()
+    return spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "n long, line string")
 
 
 def info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +181,8 @@ def info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Engine.open(spark, sf_dir).sql("test select c.c_custkey, n.n_name from customer as c join nation as n on c.c_nationkey = n.n_nationkey")
+    with contextlib.redirect_stdout(io.StringIO()):
+        found = Engine.open(spark, sf_dir).sql("test select c.c_custkey, n.n_name from customer as c join nation as n on c.c_nationkey = n.n_nationkey")
     return found.select("strategy", "n_rows", "agrees")
 
 
@@ -160,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "null_join": null_join,
     "index_table": index_table,
     "index_seek": index_seek,
+    "index_served": index_served,
     "create_and_insert": create_and_insert,
     "catalog_tables": catalog_tables,
     "explain": explain,
@@ -176,6 +215,9 @@ ORACLE_SQL: dict[str, str] = {
     "null_join": "select a.s_suppkey as a_key, b.s_suppkey as b_key from supplier a join supplier b on nullif(a.s_nationkey, 3) is not distinct from nullif(b.s_nationkey, 3)",
     "index_table": 'select o_custkey, row_number() over () as "index" from orders',
     "index_seek": 'select * from (select o_custkey, o_orderstatus, row_number() over () as "index" from orders) where o_custkey = 7',
+    "index_served": "select o_orderstatus from orders where o_custkey = 7",
+    "catalog_tables": CATALOG_SQL,
+    "explain": "select * from (values " + ", ".join(f"({i}, '{line}')" for i, line in enumerate(OUTLINE)) + ") v(n, line)",
     "create_and_insert": "select range as a, 10 * range as b from range(99)",
     "info": JOINED,
     "test_strategies": "select s as strategy, (select count(*) from customer join nation on c_nationkey = n_nationkey) as n_rows, true as agrees from (values ('BROADCAST'), ('MERGE'), ('SHUFFLE_HASH'), ('SHUFFLE_REPLICATE_NL')) v(s)",

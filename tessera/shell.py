@@ -12,14 +12,13 @@ from .engine import Engine
 from .errors import DialectError, WrongCommand
 from .plans.parser import parse
 
-#: Names of the file format's own objects, which the catalog commands leave out.
-HIDDEN, HIDDEN_START = "sqlite_sequence", "sqlite_autoindex"
-
-
 class Shell:
-    def __init__(self, engine: Engine, out: Callable[[str], None] = print):
+    """style: box, ascii or list."""
+
+    def __init__(self, engine: Engine, out: Callable[[str], None] = print, style: str = "box"):
         self.engine = engine
         self.out = out
+        self.style = style
 
     def run(self, line: str) -> None:
         """One statement or command; errors are reported, not raised."""
@@ -30,7 +29,7 @@ class Shell:
             if line.startswith("."):
                 self.command(line)
             else:
-                show(self.engine.sql(line), out=self.out)
+                show(self.engine.sql(line), self.style, self.out)
         except DialectError as e:
             self.out(e.report(line))
 
@@ -41,16 +40,18 @@ class Shell:
             self.out(f"database page size: {catalog.page_size}")
             self.out(f"number of tables: {len(catalog.entries)}")
         elif word == ".tables":
-            self.out(" ".join(n for n in catalog.entries if n != HIDDEN))
+            self.out(" ".join(n for n, e in catalog.entries.items() if not e.internal))
         elif word == ".schema":
             for entry in catalog.entries.values():
-                if entry.name != HIDDEN and not entry.name.startswith(HIDDEN_START):
+                if not entry.internal:
                     self.out(f"{entry.name}: {catalog.sql_of(entry)}")
         elif word == ".parse":
             try:
                 self.out(repr(parse(rest)))
             except DialectError as e:
                 self.out(e.report(rest))
+            except RecursionError:
+                raise WrongCommand("the syntax tree is too deep to be shown") from None
         elif word == ".test":
             for name in rest.split() or list(catalog.entries)[:1]:
                 frame = catalog.frame(name)

@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.errors import ColumnNotFound, FileNotFound, Span, TableNotFound, WrongValueType
+from tessera.errors import ColumnNotFound, FileNotFound, PageFull, Span, TableNotFound, WrongValueType
+
+from .storage import fresh_path
 
 TYPES = {"integer": T.LongType(), "int": T.LongType(), "text": T.StringType(), "real": T.DoubleType(), "blob": T.BinaryType()}
 #: Columns that carry a row's place in its table; never part of the table's own columns.
 PLACE = ("__file", "__place")
 ROWID = "__rowid"
+#: Rows that one insert may carry through the driver; and bytes of a row group of an index, which a seek reads as a whole.
+INSERTED, GROUP = 1_000_000, 8 << 20
 
 
 def declared(kind: T.DataType) -> str:
@@ -38,11 +42,13 @@ class Entry:
     sql: str
     load: Callable[[], DataFrame]
     columns: tuple[str, ...] = ()
-    placed: Callable[[], DataFrame] | None = None
-    """The table with the PLACE columns, if its rows have an order."""
+    placed: Callable[[Sequence[str] | None], DataFrame] | None = None
+    """The table with the PLACE columns, if its rows have an order; whole, or those rows that the given files hold."""
     pages: int = 0
     #: Whether each use needs a frame of its own: a Python source keeps the filters that one plan pushed.
     fresh: bool = False
+    #: Whether the object is one of the file format's own, which lists of tables leave out.
+    internal: bool = False
 
 
 class Catalog:
@@ -64,20 +70,22 @@ class Catalog:
         if not store.exists(where):
             raise FileNotFound(f"{path} does not exist")
         catalog = cls(spark)
-        for status in store.listStatus(where):
-            name = status.getPath().getName()
+        for name in sorted(status.getPath().getName() for status in store.listStatus(where)):
             if name.endswith(".parquet"):
                 catalog.add_parquet(name.removesuffix(".parquet"), f"{path.rstrip('/')}/{name}")
         return catalog
 
     def add_parquet(self, name: str, path: str) -> None:
+        self.entries[name] = self._stored("table", name, name, "", path)
+
+    def _stored(self, kind: str, name: str, table: str, sql: str, path: str, columns: Sequence[str] = ()) -> Entry:
         spark = self.spark
 
-        def placed() -> DataFrame:
-            raw = spark.read.parquet(path)
+        def placed(files: Sequence[str] | None = None) -> DataFrame:
+            raw = spark.read.parquet(*([path] if files is None else files))
             return raw.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
 
-        self.entries[name] = Entry("table", name, name, "", lambda: spark.read.parquet(path), placed=placed)
+        return Entry(kind, name, table, sql, lambda: spark.read.parquet(path), tuple(columns), placed)
 
     def add(self, name: str, frame: DataFrame, sql: str = "", table: str | None = None) -> None:
         """Any DataFrame, streams included, as a table."""
@@ -132,6 +140,8 @@ class Catalog:
         old = self.frame(name)
         checked = []
         for row in map(tuple, rows):
+            if len(checked) >= INSERTED:
+                raise PageFull(f"one insert takes {INSERTED} rows at most; more are registered as a table")
             if len(row) != len(old.schema):
                 raise WrongValueType(f"{name} has {len(old.schema)} columns, a row has {len(row)} values")
             for field, value in zip(old.schema, row):
@@ -143,21 +153,30 @@ class Catalog:
         self.add(entry.name, old.unionByName(added), entry.sql)
         return self.frame(entry.name)
 
-    def create_index(self, name: str, table: str, columns: Sequence[str], sql: str, span: Span | None = None) -> DataFrame:
-        """Registers the keys and rowids of the table, in order of the keys, under the index's name."""
+    def create_index(self, name: str, table: str, columns: Sequence[str], sql: str, span: Span | None = None, store: bool = True) -> DataFrame:
+        """Registers the keys and rowids of the table, in order of the keys, under the index's name.
+
+        Of a table in files they are stored, sorted, when the index is made: a seek reads the row groups whose
+        statistics let the keys be there. Other tables change, or have indexes of their own: theirs are views.
+        """
         entry = self.find(table, span)
         known = {c.lower(): c for c in self.frame(table).columns}
         for c in columns:
             if c.lower() not in known:
                 raise ColumnNotFound(f"{table} has no column {c}", span)
         keys = [known[c.lower()] for c in columns]
+        order = [*[F.col(f"`{k}`") for k in keys], F.col("index")]
 
-        def load() -> DataFrame:
-            rows = self.with_rowid(entry.name)
-            return rows.select(*[F.col(f"`{k}`") for k in keys], F.col(ROWID).alias("index")).orderBy(*[F.col(f"`{k}`") for k in keys], "index")
+        def rows() -> DataFrame:
+            return self.with_rowid(entry.name).select(*[F.col(f"`{k}`") for k in keys], F.col(ROWID).alias("index"))
 
         self._frames.pop(name, None)
-        self.entries[name] = Entry("index", name, entry.name, sql, load, tuple(keys), fresh=entry.fresh)
+        if store and entry.placed is not None and "index" not in known:
+            path = fresh_path(self.spark, "index")
+            rows().repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", GROUP).parquet(path)
+            self.entries[name] = self._stored("index", name, entry.name, sql, path, keys)
+        else:
+            self.entries[name] = Entry("index", name, entry.name, sql, lambda: rows().orderBy(*order), tuple(keys), fresh=entry.fresh)
         return self.frame(name)
 
     # -- metadata ----------------------------------------------------------------------------------------------

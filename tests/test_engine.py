@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import pytest
 
 from tessera import errors
 from tessera.engine import Engine
 from tessera.plans import nodes as n
+from tessera.plans.parser import parse
 
 VALUES = [None, 0, 1, 2]
 
@@ -162,3 +165,62 @@ def test_rowids_run_through_files(spark, tmp_path):
     assert ids == list(range(1, 91))
     with pytest.raises(errors.FileNotFound):
         Engine.open(spark, str(tmp_path / "missing"))
+
+
+def _table_of_files(spark, path, files, rows):
+    """Files of so many rows, in order."""
+    for f in range(files):
+        spark.range(f * rows, (f + 1) * rows, 1, 1).selectExpr("id", "id % 7 as k", "cast(id as string) as s").write.parquet(f"{path}/f{f}")
+        (found,) = Path(path, f"f{f}").glob("*.parquet")
+        Path(path, "t.parquet").mkdir(exist_ok=True)
+        found.rename(Path(path, "t.parquet", f"part-{f:03d}.parquet"))
+    return Engine.open(spark, str(path))
+
+
+def _files_read(frame):
+    return set(frame.inputFiles())
+
+
+def test_a_limit_reads_the_first_files_only(spark, tmp_path):
+    e = _table_of_files(spark, tmp_path, 9, 10)
+    frame = e.sql("select id from t limit 3")
+    assert [r.id for r in frame.collect()] == [0, 1, 2] and len(_files_read(frame)) == 1
+    frame = e.sql("select id from t where id > 12 limit 3 offset 1")
+    assert [r.id for r in frame.collect()] == [14, 15, 16] and len(_files_read(frame)) == 2
+    assert [r.id for r in e.sql("select id from t where id > 87 limit 5").collect()] == [88, 89]
+    assert len(_files_read(e.sql("select id from t limit 35"))) == 4
+
+
+def test_an_index_serves_what_it_covers(spark, tmp_path):
+    e = _table_of_files(spark, tmp_path, 4, 50)
+    e.sql("create index by_k on t(k, id)")
+    e.sql("create index by_s on t(s)")
+    frame = e.sql("select a.id from t as a where a.k = 3 and t.id < 30")
+    assert sorted(r.id for r in frame.collect()) == [3, 10, 17, 24]
+    assert all("tessera-index" in f for f in _files_read(frame)) and "EqualTo(k,3)" in frame._jdf.queryExecution().executedPlan().toString()
+    outline = e.outline(parse("select id from t where k = 3"))
+    assert "IndexScan by_k of t (chosen)" in outline and "  TableScan t\n" in outline and "by_s" not in outline
+    for text in ("select id from t where id = 3", "select * from t where k = 3", "select id from t where k = 3 limit 2", "select id from t where k = 3 or id = 4", "select id from t where k <> 3"):
+        assert not any("tessera-index" in f for f in _files_read(e.sql(text)))
+    assert [tuple(r) for r in e.sql("select k, id from by_k limit 2").collect()] == [(0, 0), (0, 7)]
+
+
+def test_large_numbers_and_long_chains(spark, engine):
+    assert engine.sql("select id from apples where id < 99999999999999999999").count() == engine.sql("select id from apples").count()
+    with pytest.raises(errors.ParserError) as e:
+        engine.sql("select id from apples where id < 1" + "0" * 40)
+    assert e.value.span.start == 33
+    many = " or ".join(f"id = {i}" for i in range(1200))
+    assert engine.sql(f"select id from apples where {many}").count() == engine.sql("select id from apples where id >= 0 and id < 1200").count()
+    with pytest.raises(errors.ParserError, match="deep"):
+        engine.sql("select id from apples where " + "(" * 5000 + "id = 1" + ")" * 5000)
+
+
+def test_text_that_is_no_time(spark):
+    e = Engine(spark)
+    e.register("seen", spark.sql("select timestamp'2024-01-02 03:04:05' as at, date'2024-01-02' as day, true as good"))
+    assert e.sql("select at from seen where at < '2024-01-03' and day = '2024-01-02' and good = 'true'").count() == 1
+    for text in ("at = 'soon'", "day < 'tomorrow'", "'maybe' = good"):
+        with pytest.raises(errors.WrongValueType) as found:
+            e.sql(f"select at from seen where {text}")
+        assert found.value.span.start == 26

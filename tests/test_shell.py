@@ -21,6 +21,7 @@ def test_box_and_list():
         "│ 22 │      │",
         "└────┴──────┘",
     ]
+    assert list(display.box(["id"], [(1,), (22,)], "ascii")) == ["+----+", "| id |", "+----+", "| 1  |", "| 22 |", "+----+"]
     assert list(display.listing(["id", "raw"], [(1, b"\x01\xff")])) == ["id|raw", "1|[01, ff]"]
     assert list(display.box(["id"], [])) == [] and list(display.listing(["id"], [])) == []
 
