@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
+from sys import intern
 from zlib import crc32
 
 import numpy as np
@@ -26,7 +27,7 @@ from .common import map_texts
 from .sampling import CHARS, held_out, labelled
 
 #: Labelled documents that are fitted on, at most.
-MOST = 12_000
+MOST = 8000
 #: Beginnings of words that are terms, and how many words of a text have to begin so.
 BEGINNINGS, TIMES = (4, 5, 6, 7), (1, 2, 3)
 #: A term's part of toxic documents among those that hold it, at least.
@@ -85,7 +86,7 @@ def seen(text: str | None) -> Seen:
     masked = masked_words(text)
     found = sorted(words(text) | masked)
     n = len(found) or 1
-    return Seen(found, sorted(masked), min(1.0, len(set(_shouted(text))) / n), min(1.0, text.count("!") / n), float(any(map(_stretched, found))), min(1.0, len(SECOND.intersection(found)) / 2))
+    return Seen(found, sorted(masked), min(1.0, len(set(_shouted(text))) / n), min(1.0, text.count("!") / n), float(_stretched(" ".join(found)) is not None), min(1.0, len(SECOND.intersection(found)) / 2))
 
 
 def stems_of(word: str) -> Iterable[str]:
@@ -312,7 +313,11 @@ def trained(
 
     rows = map_texts(sample, "__text", ["__label"], "words string, masked string, signs array<double>", make).collect()
     rows = sorted({(r.words, r.masked, tuple(r.signs), r["__label"]) for r in rows})
-    return fit([Seen(w.split(), m.split(), *signs) for w, m, signs, _ in rows], np.array([y for *_, y in rows], int), most_terms=most_terms)
+    toxic, docs_seen = np.array([y for *_, y in rows], int), []
+    for n, (found, masked, signs, _) in enumerate(rows):
+        docs_seen.append(Seen(tuple(map(intern, found.split())), masked.split(), *signs))  # one object for each word
+        rows[n] = None
+    return fit(docs_seen, toxic, most_terms=most_terms)
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = MOST, most_chars: int = CHARS, parts: int = 5, part: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
