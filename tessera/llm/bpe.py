@@ -10,6 +10,8 @@ memoised for each pair of tokens. A sequence whose neighbours all fit is the one
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Sequence
 from hashlib import sha256
 
 import ahocorasick
@@ -21,6 +23,8 @@ from .pretokens import Splitter
 
 #: Entries of a task's memo of pieces before it is emptied, and the longest piece that it holds.
 MEMO, MEMO_CHARS = 400_000, 48
+#: Bytes of a piece from which on its numbers are kept in arrays, which are slower and take a fifth of the memory of lists.
+LONG = 4096
 #: Entries of the memo of token pairs before it is emptied.
 PAIRS = 600_000
 
@@ -38,6 +42,11 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
+        #: Of each token, its length and the longest token that is a beginning of it; -1 without any.
+        self.lengths = list(map(len, self.bytes))
+        self.shorter = [-1] * self.size
+        for token, rank in ranks.items():
+            self.shorter[rank] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1)
         self.fits_memo: dict[int, bool] = {}
         self.halves: list[tuple[int, int] | None] = [None] * self.size
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -92,49 +101,43 @@ class Vocabulary:
                     if left == limit:
                         return True
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def encode_piece(self, piece: bytes) -> Sequence[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        starts: list[list[int]] = [[] for _ in range(n)]  # tokens from each place, shortest first
-        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - length + 1].append(token)
-        size, fits, lengths = self.size, self.fits, self.bytes
+        size, fits, lengths, shorter = self.size, self.fits, self.lengths, self.shorter
         memo = self.fits_memo
-        tokens: list[int] = []
-        places: list[int] = []
-        choice = [len(s) - 1 for s in starts]  # the next token to try at each place
+        numbers = list if n < LONG else lambda x: array("q", x)
+        choice = numbers([-1]) * n  # the next token to try at each place: the longest one first
+        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
+            choice[end - length + 1] = token  # of one place, longer ones come later
+        tokens = numbers([])
         dead = bytearray(n + 1)  # places from which no fitting sequence reaches the end
         at = 0
         while at < n:
-            here = starts[at]
             last = tokens[-1] if tokens else -1
-            i = choice[at]
-            while i >= 0:
-                token = here[i]
-                end = at + len(lengths[token])
+            token = choice[at]
+            while token >= 0:
+                end = at + lengths[token]
                 if not dead[end]:
                     ok = last < 0 or memo.get(last * size + token)
                     if ok is None:
                         ok = fits(last, token)
                     if ok:
                         break
-                i -= 1
-            if i >= 0:
-                choice[at] = i
+                token = shorter[token]
+            if token >= 0:
+                choice[at] = token
                 tokens.append(token)
-                places.append(at)
                 at = end
-                if at < n:
-                    choice[at] = len(starts[at]) - 1
             else:
                 if not tokens:
                     raise ValueError("the vocabulary lacks some single bytes")
                 dead[at] = 1
-                tokens.pop()
-                at = places.pop()
-                choice[at] -= 1
+                token = tokens.pop()
+                at -= lengths[token]
+                choice[at] = shorter[token]
         return tokens
 
 

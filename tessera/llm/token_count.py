@@ -9,6 +9,7 @@ a table of bounded size for each task.
 from __future__ import annotations
 
 import json
+from array import array
 from heapq import heapify, heappop, heappush
 
 import regex
@@ -20,6 +21,10 @@ from .pretokens import Splitter
 #: Entries of a task's memo table before it is emptied, and the longest piece that it holds.
 MEMO, MEMO_CHARS = 400_000, 48
 
+#: Bytes of a piece from which on its numbers are kept in arrays, which are slower and take a fifth of the memory of lists.
+LONG = 4096
+#: Bits of a place in a heap entry, which is rank << PLACE | place: one number for each pair.
+PLACE = 40
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -47,37 +52,40 @@ class Merges:
         if n < 2:
             return n
         look = self.pairs.get
-        symbol = list(piece)
+        numbers = list if n < LONG else lambda x: array("q", x)
+        symbol = numbers(iter(piece))
         heap = []
         for i in range(n - 1):
             found = look(symbol[i] << 32 | symbol[i + 1])
             if found is not None:
-                heap.append((found[0], i, found[1]))
+                heap.append(found[0] << PLACE | i)
         if not heap:
             return n
         heapify(heap)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        merged = 0
+        after = numbers(range(1, n + 1))
+        before = numbers(range(-1, n - 1))
+        merged, places = 0, (1 << PLACE) - 1
         while heap:
-            rank, i, new = heappop(heap)
+            entry = heappop(heap)
+            rank, i = entry >> PLACE, entry & places
             if symbol[i] < 0 or (j := after[i]) >= n:
                 continue
             found = look(symbol[i] << 32 | symbol[j])
             if found is None or found[0] != rank:
                 continue  # one of the two has been merged since
-            symbol[i], symbol[j] = new, -1
+            new = symbol[i] = found[1]
+            symbol[j] = -1
             merged += 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 found = look(new << 32 | symbol[k])
                 if found is not None:
-                    heappush(heap, (found[0], i, found[1]))
+                    heappush(heap, found[0] << PLACE | i)
             if (h := before[i]) >= 0:
                 found = look(symbol[h] << 32 | new)
                 if found is not None:
-                    heappush(heap, (found[0], h, found[1]))
+                    heappush(heap, found[0] << PLACE | h)
         return n - merged
 
 

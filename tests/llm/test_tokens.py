@@ -1,4 +1,5 @@
 import base64
+import tracemalloc
 from hashlib import sha256
 
 import numpy as np
@@ -95,3 +96,13 @@ def test_documents(spark, data):
     for r in bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect():
         assert r.ids_sha256 == sha256(np.array(encoding.encode_ordinary(text[r.doc_id]), "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_memory_of_one_unbroken_piece():
+    """A word of 200,000 letters: under 120 bytes a byte of it."""
+    text = "".join(np.random.default_rng(0).choice(list("etaoinshrd"), 200_000))
+    for count in (counter.count, lambda t: len(codec.encode(t)) // 4):
+        tracemalloc.start()
+        assert 40_000 < count(text) < 160_000
+        assert tracemalloc.get_traced_memory()[1] < 120 * len(text)
+        tracemalloc.stop()
