@@ -173,10 +173,13 @@ def mixed(
     columns = {"source": source_col, "lang": lang_col, "topic": topic_col}
     held = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc") if keep else None
     keys = [f"__{d}" for d in DIMENSIONS]
-    cells = durable(_measured(docs, id_col, text_col, columns, None).groupBy(*keys).agg(F.sum("__tokens").alias("__tokens")))
+    measured = _measured(docs, id_col, text_col, columns, held)
+    if not keep:
+        measured = durable(measured)  # short rows, without the texts
+    cells = durable(measured.groupBy(*keys).agg(F.sum("__tokens").alias("__tokens")))
     weights = fit(cells, targets, power)
     most = weights.where("__tokens > 0").agg(F.max("__weight")).first()[0] or 1.0
-    drawn = _measured(docs, id_col, text_col, columns, held).join(weights.drop("__tokens"), keys, "left").withColumn("__p", F.least(F.lit(1.0), F.col("__weight") / F.lit(most)))
+    drawn = measured.join(weights.drop("__tokens"), keys, "left").withColumn("__p", F.least(F.lit(1.0), F.col("__weight") / F.lit(most)))
     kept = _chance(F.col("__id"), seed) < F.col("__p")
     if keep:
         return drawn.select(*[F.col(f"__doc.`{c}`").alias(c) for c in keep], kept.alias("__kept"))
