@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, released
 from .sampling import CHARS, held_out, labelled
 
 #: Labelled documents that are fitted on, at most.
@@ -317,7 +317,10 @@ def trained(
     for n, (found, masked, signs, _) in enumerate(rows):
         docs_seen.append(Seen(tuple(map(intern, found.split())), masked.split(), *signs))  # one object for each word
         rows[n] = None
-    return fit(docs_seen, toxic, most_terms=most_terms)
+    model = fit(docs_seen, toxic, most_terms=most_terms)
+    del docs_seen, rows
+    released()  # the driver lives on
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = MOST, most_chars: int = CHARS, parts: int = 5, part: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
