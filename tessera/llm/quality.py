@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, released
 from .sampling import CHARS, held_out, labelled
 
 #: Labelled documents that are fitted on, at most.
@@ -341,8 +341,11 @@ def fit(texts: Sequence[bytes], labels: np.ndarray, threshold: float = 0.7, roun
 def trained(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = MOST, most_chars: int = CHARS, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled documents whose id's CRC-32 modulo parts is not part: at most `most`, with at most most_chars characters in all."""
     rows = labelled(docs, labels, "quality", parts, part, most, most_chars, id_col, text_col).toPandas()
-    rows = rows.assign(raw=[(t or "").encode() for t in rows["__text"]]).sort_values("raw", kind="stable")
-    return fit(rows["raw"].tolist(), rows["__label"].to_numpy(), threshold)
+    rows = rows.assign(raw=[(t or "").encode() for t in rows.pop("__text")]).sort_values("raw", kind="stable")
+    found = fit(rows["raw"].tolist(), rows["__label"].to_numpy(), threshold)
+    del rows
+    released()  # the driver lives on
+    return found
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = MOST, most_chars: int = CHARS, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
