@@ -33,6 +33,7 @@ SHOWN, OFTEN, COMMON = 8000, 3, 100_000
 #: Places in a list within which pairs are verified first; four times as many in the second round.
 NEIGHBOURS = 16
 #: Rows of a list that a task holds at a time, about; longer lists are cut, and for all their pairs dealt in parts.
+#: Otherwise tasks take ranges of rows, not of lists, so that one long list is the work of several.
 HELD = 1 << 17
 #: Rows of a list from which on only pairs of different labels are looked at one by one.
 LONG = 512
@@ -154,18 +155,28 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], held_rows: int | None = None
 
 
 def _members(alike: float):
-    """Arrow function from (key, packed, node), sorted, to those rows that have a candidate in their list; all rows of a part of a long list."""
+    """Arrow function from (key, packed, node), sorted, to those rows that have a candidate in their list; all rows of lists that may go on elsewhere.
+
+    Those are long ones, of which a task holds parts, and a task's first and last one, where lists are cut between tasks.
+    """
     schema = pa.schema([(n, pa.int64()) for n in ("key", "packed", "node")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_lists(batches, HELD):
+        lists = _whole_lists(batches, HELD)
+        columns, before = next(lists, None), None
+        while columns is not None:
+            following = next(lists, None)
             keys = columns[0]
             starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
-            met = np.repeat(np.diff(np.concatenate((starts, [len(keys)]))) > LONG, np.diff(np.concatenate((starts, [len(keys)]))))
+            sizes = np.diff(np.concatenate((starts, [len(keys)])))
+            met = np.repeat(sizes > LONG, sizes) | (keys == (keys[0] if before is None else before))
+            if following is None:
+                met |= keys == keys[-1]
             short = np.flatnonzero(~met)
             for i, j in _candidates(keys[short], columns[1][short], alike):
                 met[short[i]] = met[short[j]] = True
             yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], schema=schema)
+            columns, before = following, keys[-1]
 
     return run
 
@@ -238,7 +249,7 @@ def links(rows: DataFrame, bodies: DataFrame, shingle_words: int, alike: float,
     packed = F.shiftleft("__n", 32).bitwiseOR(F.col("__at").cast("long"))
     index = nodes.select("__node", "__n", F.posexplode("__prefix").alias("__at", "key")).select("key", packed.alias("packed"), F.col("__node").alias("node"))
     order = ["key", "packed", "node"]
-    members = scratch.keep(index.repartition("key").sortWithinPartitions(*order).mapInArrow(_members(alike), "key long, packed long, node long"))
+    members = scratch.keep(index.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_members(alike), "key long, packed long, node long"))
     known = scratch.keep(members.select("node").distinct().join(nodes.select(F.col("__node").alias("node"), "__fp", "__spread", "__of"), "node"))
 
     def make():
@@ -263,8 +274,9 @@ def links(rows: DataFrame, bodies: DataFrame, shingle_words: int, alike: float,
         return members.join(components(found, scratch).toDF("node", "root"), "node", "left").select(*order, F.coalesce("root", "node").alias("label"))
 
     def candidates(lists: DataFrame, by: list, furthest: int | None) -> DataFrame:
-        """Pairs of different labels; by orders the lists."""
-        sorted_ = lists.select(*order, "label").repartition("key").sortWithinPartitions("key", *by)
+        """Pairs of different labels; by orders the lists, which only stay in one task if all their pairs are looked at."""
+        rows = lists.select(*order, "label")
+        sorted_ = (rows.repartition("key") if furthest is None else rows.repartitionByRange("key", *by)).sortWithinPartitions("key", *by)
         return sorted_.mapInArrow(_pairs(alike, furthest), "a long, b long").distinct()
 
     def near_fingerprints() -> DataFrame:

@@ -41,6 +41,20 @@ def test_candidates_of_lists_across_batches():
     assert got == {(a, b) for a in range(300) for b in range(a + 1, 300) if keys[a] == keys[b]}
 
 
+def test_rows_of_lists_that_are_cut_all_stay(monkeypatch):
+    """One row is left of a list that a task holds in two parts; lists go on in the tasks before and after."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "HELD", 9)
+    monkeypatch.setattr(similar, "LONG", 4)
+    keys = np.array([1, 2] + [3] * 15 + [4, 5, 5, 6])
+    rows = [keys, np.full(len(keys), 10 << 32), np.arange(len(keys))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 8]) for c in rows], ["key", "packed", "node"]) for i in range(0, len(keys), 8)]
+    got = [k for b in similar._members(0.8)(iter(batches)) for k in b.column(0).to_pylist()]
+    assert got == [1] + [3] * 15 + [5, 5, 6]
+    assert list(similar._members(0.8)(iter([]))) == []
+
+
 def test_long_texts_near_the_threshold_are_judged_exactly(spark):
     rng = np.random.default_rng(6)
     texts = []
