@@ -8,8 +8,9 @@ by one, and the message that holds most of them is its original. A message repli
 of its least-quoted passages. Threads follow each other by their first messages; within a thread messages
 follow by turn, so that a reply comes after what it replies to. Only DataFrame functions are used.
 
-Nothing gathers a conversation in one task: originals are found per passage and line, threads by pointer jumping,
-and positions from a range partitioning of all messages.
+Nothing gathers a conversation in one task, nor all that says or quotes one line: originals are found along a range
+partitioning of all passages and lines, with the latest original of the parts before; threads by pointer jumping, and
+positions from a range partitioning of all messages.
 """
 
 from __future__ import annotations
@@ -80,9 +81,15 @@ def quotations(messages: DataFrame) -> DataFrame:
     own = units.join(quoted.select("__conv", "__hash").distinct(), ["__conv", "__hash"], "left_semi")
     both = quoted.withColumn("__own", F.lit(0)).unionByName(own.withColumn("__own", F.lit(1)), allowMissingColumns=True)
     # in the order of turns, quotations before the originals of their own turn: the latest original seen is an earlier one
-    seen = Window.partitionBy("__conv", "__hash").orderBy("__turn", "__own", "__row").rowsBetween(Window.unboundedPreceding, 0)
-    source = F.last(F.when(F.col("__own") == 1, F.struct("__turn", "__row")), True).over(seen)
-    met = both.withColumn("__source", source).where("__own = 0 and __source is not null")
+    order = ["__turn", "__own", "__row"]
+    placed = durable(both.repartitionByRange("__conv", "__hash", *order).withColumn("__part", F.spark_partition_id()))
+    original = F.when(F.col("__own") == 1, F.struct("__turn", "__row"))
+    of_part = ["__conv", "__hash", "__part"]
+    inside = F.last(original, True).over(Window.partitionBy(*of_part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = placed.groupBy(*of_part).agg(F.max(original).alias("__end"))
+    parts = Window.partitionBy("__conv", "__hash").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("__carried", F.last("__end", True).over(parts)).where("__carried is not null").select(*of_part, "__carried")
+    met = placed.withColumn("__inside", inside).where("__own = 0").join(carried, of_part, "left").withColumn("__source", F.coalesce("__inside", "__carried")).where("__source is not null")
     votes = met.groupBy("__conv", "__row", "__run", "__level", "__kind", "__source").agg(F.count("*").alias("__votes"))
     best = votes.groupBy("__conv", "__row", "__run", "__level").agg(F.max(F.struct((-F.col("__kind")).alias("whole"), "__votes", "__source")).alias("b"))
     return best.select("__conv", "__row", "__run", "__level", F.col("b.__source").alias("__source"))

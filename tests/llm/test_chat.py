@@ -77,3 +77,17 @@ def test_long_chain_and_long_conversation(spark):
     rows = [(1, i, "user", f"> text {i - 1}\ntext {i}") for i in range(120)]
     got = sorted(chat.threaded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.turn)
     assert [r.depth for r in got] == list(range(120)) and [r.position for r in got] == list(range(1, 121)) and {r.thread_turn for r in got} == {0}
+
+
+def test_a_line_that_everyone_says_and_quotes_is_not_one_task(spark):
+    rows = [(1, i, "user", "> same\nsame") for i in range(300)] + [(2, i, "user", "> same" if i % 2 else f"only {i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small parts stay apart
+    try:
+        messages = frame.selectExpr("conv_id as __conv", "turn as __turn", "xxhash64(conv_id, turn) as __row", "text as __text")
+        found = chat.quotations(messages)
+        assert {(r[0], r[1][0]) for r in found.select("__conv", "__source").collect()} == {(1, i) for i in range(299)}
+        got = {(r.conv_id, r.turn): r.parent_turn for r in chat.threaded(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {(c, t): t - 1 if c == 1 and t else None for c, t, *_ in rows}
