@@ -159,26 +159,26 @@ def lexicon(docs: Sequence[Seen], toxic: np.ndarray, most_terms: int | None = No
 
 
 class Matcher:
-    """Terms of the lexicon that a text holds; the stems of a word are memoised."""
+    """Terms of the lexicon that a text holds; words without a stem of them, which are most, are memoised."""
 
     def __init__(self, terms: Sequence[Term]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.stems = {s for s, _ in terms}
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.without: set[str] = set()
 
     def stems_in(self, word: str) -> tuple[str, ...]:
-        own = self.memo.get(word)
-        if own is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            own = self.memo[word] = tuple(s for s in stems_of(word) if s in self.stems)
+        own = tuple(s for s in stems_of(word) if s in self.stems)
+        if not own:
+            if len(self.without) >= MEMO:
+                self.without.clear()
+            self.without.add(word)
         return own
 
     def hits(self, found: Iterable[str]) -> tuple[list[int], int]:
-        """The numbers of the terms, and how many of the words have a stem of them."""
+        """The numbers of the terms, and how many of the words, which are distinct, have a stem of them."""
         counts: dict[str, int] = {}
         held = 0
-        for w in found:
+        for w in set(found).difference(self.without):
             if own := self.stems_in(w):
                 held += 1
                 for s in own:
